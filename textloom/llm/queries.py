@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import classifier, licences, quality_rules
+from . import classifier, licences, quality_rules, token_files
 
 QUERIES = {
     "op2_quality_classifier": classifier.query,
     "op4_licence_scan": licences.query,
     "op8_llr_quality_rules": quality_rules.query,
+    "op10_token_files": token_files.query,
 }
 
 ORACLE_SQL = {
