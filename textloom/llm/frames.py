@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def positional(df: DataFrame) -> DataFrame:
@@ -57,6 +58,15 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+#: Ids (16 bytes each in a hash table) that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def broadcast_checked(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """ids (narrow rows) with a broadcast hint if they are counted and found to be at most so many."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, where it outlives any executor."""
     shared_folder(df.sparkSession)

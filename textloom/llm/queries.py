@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import classifier, licences, quality_rules, token_files
+from . import classifier, licences, quality_rules, simhash, token_files
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
     "op2_quality_classifier": classifier.query,
     "op4_licence_scan": licences.query,
     "op8_llr_quality_rules": quality_rules.query,
