@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexical
-from .frames import keep_where, narrow, positional, summed_arrays
+from .frames import broadcast_checked, keep_where, narrow, positional, settled, summed_arrays
 
 BUCKETS = 1 << 16
 #: Documents score about 0 if their n-grams are those of trusted text; foreign n-grams pull the mean down.
@@ -66,29 +66,31 @@ def features(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([h, pair[same]]) % buckets, np.concatenate([w.doc, w.doc[:-1][same]])
 
 
-def ngram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts by bucket over all rows of the one text column of texts."""
+def ngram_counts(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by bucket over all rows of texts (text, trusted), and over the trusted ones."""
 
     def make():
         def step(columns):
-            rows = columns[0].to_pylist()
+            rows, trusted = columns[0].to_pylist(), columns[1].to_numpy(zero_copy_only=False)
             for a, b in lexical.chunks(rows):
-                step.total += np.bincount(features(rows[a:b], buckets)[0], minlength=buckets)
+                bucket, doc = features(rows[a:b], buckets)
+                step.total += np.bincount(bucket + buckets * trusted[a:b].astype(np.int64)[doc], minlength=2 * buckets)
 
-        step.total = np.zeros(buckets, np.int64)
+        step.total = np.zeros(2 * buckets, np.int64)
         return step
 
-    return summed_arrays(texts, make, buckets)
+    rest, target = summed_arrays(texts, make, 2 * buckets).reshape(2, buckets)
+    return rest + target, target
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """log p_target - log p_raw of every bucket. trusted: the ids (first column) of the trusted documents.
 
-    The trusted texts are found by a shuffled join, whatever their number."""
+    The ids are broadcast if they are few enough, else joined by a shuffle."""
     own = narrow(docs, id=id_col, text=text_col)
-    ids = positional(trusted).select(F.col("in_0").alias("id")).where("id is not null").distinct()
-    raw = ngram_counts(own.select("text"), buckets)
-    target = ngram_counts(own.join(ids, "id", "left_semi").select("text"), buckets)
+    ids = settled(positional(trusted).select(F.col("in_0").alias("known")).where("known is not null").distinct())
+    marked = own.join(broadcast_checked(ids), F.col("id") == F.col("known"), "left").select("text", F.col("known").isNotNull().alias("trusted"))
+    raw, target = ngram_counts(marked, buckets)
     return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
 
 
