@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import classifier, frames, quality_rules
+from textloom.llm import classifier, frames, mixing, packing, quality_rules, simhash
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classifier.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality rules", rules), ("quality classifier", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.keep_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents selected to the sources' target weights, once for each copy."""
+    return mixing.mixed_documents(docs)
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training windows of documents that are lexical neighbours."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", quality),
+    ("near-dedup", near_duplicates),
+    ("mixing", mixture),
+    ("packing", windows),
+]
 
 #: Several stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None

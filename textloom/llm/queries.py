@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import classifier, licences, quality_rules, simhash, token_files
+from . import classifier, html_text, licences, mixing, neighbours, packing, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_quality_classifier": classifier.query,
+    "op3_mix_sources": mixing.query,
     "op4_licence_scan": licences.query,
+    "op6_html_extraction": html_text.query,
+    "op7_nearest_neighbours": neighbours.query,
     "op8_llr_quality_rules": quality_rules.query,
+    "op9_retrieval_packing": packing.query,
     "op10_token_files": token_files.query,
 }
 
