@@ -140,7 +140,7 @@ def nearest(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: st
     # Each vector goes to its shard once for each block of queries, and as a query to each shard.
     here, block = F.pmod(place, F.lit(shards)), F.pmod(F.shiftright(place, 20), F.lit(blocks))
     data = rows.select(here.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), "id", "packed")
-    asked = rows.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint").alias("shard"), block.cast("int").alias("block"), F.lit(1).alias("side"), "id", "packed")
+    asked = rows.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), block.cast("int").alias("block"), F.lit(1).alias("side"), "id", "packed")
 
     def searched(cell: pa.Table) -> pa.Table:
         side, ids = cell["side"].to_numpy(), cell["id"].to_numpy()
