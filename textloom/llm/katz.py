@@ -1,0 +1,323 @@
+"""Language-model scores: a Katz backoff bigram model counted over the whole corpus.
+
+Words are hashed into a vocabulary of fixed size; id 0 stands before every
+text. Counts r from 1 to K_MAX get Katz's Good-Turing discount d_r, made from
+the numbers of n-grams that occur once, twice, and so on. Where that isn't
+between 0 and 1 (too small a corpus), d_r is 1 - 1 / (2 r).
+
+* A word's unigram probability is in proportion to d_r r; what the discounts
+  free is shared equally by all ids that never occur.
+* A bigram that occurs more than CUTOFF times has d_r r / c(first word).
+* Any other has the backoff weight of the first word times the unigram
+  probability of the second. The weight is what the first word's own bigrams
+  leave, divided by what the unigrams leave beside the same second words, so
+  the probabilities of all ids after any word add up to 1 exactly. Where a
+  word's bigrams leave nothing, they are scaled by c / (c + 1); where they are
+  all of the vocabulary, so that they add up to 1.
+
+Texts are tokenised once. Some millions of tokens at a time become a list of
+distinct bigrams and the tokens' places in it, kept in the shared folder. The
+lists are shuffled by a hash of the bigram, merged and counted into a table
+partitioned by that hash (so no word, however frequent, is in one task),
+together with where each list's bigrams are in it. Sums by first word have the
+vocabulary's fixed size. Probabilities then go back to the lists without
+another look-up, and every token takes its own.
+
+Cases: null and empty texts have no tokens, and null for their score. Repeated
+rows count as often as they occur, and each is scored. Null doc_ids stay. An
+empty table to train on makes all words equally likely.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import lexical
+from .frames import narrow, new_folder, pack, per_batch, settled, summed_arrays, unpack
+
+VOCABULARY_BITS, K_MAX, CUTOFF = 20, 5, 1
+#: Tokens of a list, and of a partition of the table.
+LIST_TOKENS, PART_TOKENS = 3_000_000, 4_000_000
+
+
+def word_ids(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (1 .. 2**bits - 1) of all words, and where each text's begin."""
+    w = lexical.words(texts)
+    return (w.hashes() % np.uint64((1 << bits) - 1)).astype(np.int64) + 1, w.first
+
+
+def unigram_counts(texts: DataFrame, bits: int) -> np.ndarray:
+    size = 1 << bits
+
+    def make():
+        def step(columns):
+            rows = columns[0].to_pylist()
+            for a, b in lexical.chunks(rows):
+                step.total += np.bincount(word_ids(rows[a:b], bits)[0], minlength=size)
+
+        step.total = np.zeros(size, np.int64)
+        return step
+
+    return summed_arrays(texts, make, size)
+
+
+def discounts(of_counts: np.ndarray, k: int = K_MAX) -> np.ndarray:
+    """d_0 .. d_k, from how many n-grams occur r times (r = 0 .. k + 1)."""
+    n = of_counts.astype(np.float64)
+    d = np.ones(k + 1)
+    common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+    for r in range(1, k + 1):
+        value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0.0
+        d[r] = value if 0 < value < 1 else 1 - 0.5 / r
+    return d
+
+
+def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
+
+
+def unigram_probabilities(counts: np.ndarray, k: int = K_MAX) -> np.ndarray:
+    """Of all ids; id 0, the start, has none."""
+    seen = counts[1:]
+    u = discounted(seen, discounts(np.bincount(np.minimum(seen, k + 2), minlength=k + 3), k))
+    unseen = seen == 0
+    if unseen.any():
+        u[unseen] = max(seen.sum() - u.sum(), 0.5) / unseen.sum()
+    return np.concatenate([[0.0], u / u.sum()])
+
+
+@dataclass
+class Backoff:
+    """What bigrams share: discounts, and for each first word its total, the scale of its bigrams and its weight."""
+
+    d: np.ndarray
+    totals: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    unigrams: np.ndarray
+    bits: int
+
+    def log_probabilities(self, keys: np.ndarray, counts: np.ndarray, cutoff: int) -> np.ndarray:
+        """Of bigrams (first * size + second) with these counts: their own, or by way of the second word's."""
+        first, second = (keys >> np.uint64(self.bits)).astype(np.int64), (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        own = counts > cutoff
+        p = np.empty(len(keys))
+        p[own] = self.scale[first[own]] * discounted(counts[own], self.d) / self.totals[first[own]]
+        p[~own] = self.weight[first[~own]] * self.unigrams[second[~own]]
+        return np.log(np.maximum(p, 1e-300))
+
+
+def backoff(d: np.ndarray, totals: np.ndarray, held: np.ndarray, beside: np.ndarray, unigrams: np.ndarray, bits: int) -> Backoff:
+    """held: by first word, the sum of its discounted counts; beside: of its second words' unigram probabilities."""
+    left, other = totals - held, 1 - beside
+    scale, weight = np.ones(len(totals)), np.ones(len(totals))
+    some = totals > 0
+    full = some & (left <= 1e-9 * totals)
+    everything = some & (other <= 1e-9)
+    scale[full] = totals[full] / (totals[full] + 1)
+    share = 1 - scale * np.divide(held, totals, out=np.zeros_like(held), where=some)
+    weight[some] = share[some] / np.maximum(other[some], 1e-12)
+    scale[everything] = totals[everything] / held[everything]
+    weight[everything] = 0.0
+    return Backoff(d, totals, scale, weight, unigrams, bits)
+
+
+LISTS = "list bigint, train boolean, ids binary, known binary, docs int, sizes binary, places binary, tokens int, parts array<struct<part: int, n: int, keys: binary, counts: binary>>"
+
+
+def lists_of(texts: DataFrame, train: bool, bits: int, parts: int, list_tokens: int) -> DataFrame:
+    """The lists of texts (id, text); train says whether they are counted."""
+
+    def make():
+        task = TaskContext.get()
+        base = ((task.partitionId() if task else 0) << 24) | (0 if train else 1 << 23)
+        held: dict = {"ids": [], "words": [], "sizes": [], "tokens": 0, "no": 0}
+
+        def flush():
+            ids = pa.concat_arrays(held["ids"])
+            words, sizes = np.concatenate(held["words"]), np.concatenate(held["sizes"])
+            before = np.empty_like(words)
+            before[1:] = words[:-1]
+            begin = np.cumsum(sizes) - sizes
+            before[begin[sizes > 0]] = 0
+            keys = (before.astype(np.uint64) << np.uint64(bits)) | words.astype(np.uint64)
+            part = lexical.mix(keys) % np.uint64(parts)
+            own, places, counts = np.unique((part << np.uint64(2 * bits)) | keys, return_inverse=True, return_counts=True)
+            edges = np.searchsorted(own, np.arange(parts + 1).astype(np.uint64) << np.uint64(2 * bits))
+            cut = []
+            for p in range(parts):
+                a, b = int(edges[p]), int(edges[p + 1])
+                if a < b:
+                    k = own[a:b] & np.uint64((1 << 2 * bits) - 1)
+                    cut.append({"part": p, "n": b - a, "keys": pack(np.diff(k, prepend=np.uint64(0))), "counts": pack(counts[a:b].astype(np.int32)) if train else b""})
+            out = {
+                "list": [base + held["no"]],
+                "train": [train],
+                "ids": [pack(np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64))],
+                "known": [pack(np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8))],
+                "docs": [len(sizes)],
+                "sizes": [pack(sizes.astype(np.int32))],
+                "places": [pack(places.astype(np.int32))],
+                "tokens": [len(words)],
+                "parts": [cut],
+            }
+            held.update(ids=[], words=[], sizes=[], tokens=0, no=held["no"] + 1)
+            return out
+
+        def step(columns):
+            texts = columns[1].to_pylist()
+            for a, b in lexical.chunks(texts):
+                w, first = word_ids(texts[a:b], bits)
+                held["ids"].append(columns[0].slice(a, b - a))
+                held["words"].append(w)
+                held["sizes"].append(np.diff(first))
+                held["tokens"] += len(w)
+                if held["tokens"] >= list_tokens:
+                    yield flush()
+
+        def finish():
+            if held["ids"]:
+                yield flush()
+
+        step.finish = finish
+        return step
+
+    return per_batch(texts, make, LISTS)
+
+
+TABLE = "part int, n int, keys binary, counts binary, lists array<struct<list: bigint, n: int, places: binary>>"
+
+
+def merged(rows: pa.Table) -> pa.Table:
+    """A partition of the table from its part of every list."""
+    rows = rows.sort_by("list")
+    sizes, train = rows["n"].to_pylist(), rows["train"].to_pylist()
+    keys = [np.cumsum(unpack(k.as_py(), n, np.uint64), dtype=np.uint64) for k, n in zip(rows["keys"], sizes, strict=True)]
+    counts = [unpack(c.as_py(), n, np.int32) if t else np.zeros(n, np.int32) for c, n, t in zip(rows["counts"], sizes, train, strict=True)]
+    own, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate(counts), minlength=len(own)).astype(np.int64)
+    lists, at = [], 0
+    for name, n, asked in zip(rows["list"].to_pylist(), sizes, rows["asked"].to_pylist(), strict=True):
+        if asked:
+            lists.append({"list": name, "n": n, "places": pack(np.diff(place[at : at + n].astype(np.int32), prepend=np.int32(0)))})
+        at += n
+    part = rows["part"][0].as_py()
+    kind = pa.list_(pa.struct([("list", pa.int64()), ("n", pa.int32()), ("places", pa.binary())]))
+    return pa.table(
+        {
+            "part": pa.array([part], pa.int32()),
+            "n": pa.array([len(own)], pa.int32()),
+            "keys": pa.array([pack(np.diff(own, prepend=np.uint64(0)))], pa.binary()),
+            "counts": pa.array([pack(total)], pa.binary()),
+            "lists": pa.array([lists], kind),
+        }
+    )
+
+
+def _keys(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(packed, n, np.uint64), dtype=np.uint64)
+
+
+def fit(table: DataFrame, unigrams: np.ndarray, bits: int, cutoff: int, k: int = K_MAX) -> Backoff:
+    """The backoff model of a table of bigrams, by two passes over it."""
+    size = 1 << bits
+
+    def count_counts():
+        def step(columns):
+            for n, counts in zip(columns[0].to_pylist(), columns[1], strict=True):
+                step.total += np.bincount(np.minimum(unpack(counts.as_py(), n, np.int64), k + 2), minlength=k + 3)
+
+        step.total = np.zeros(k + 3, np.int64)
+        return step
+
+    d = discounts(summed_arrays(table.select("n", "counts"), count_counts, k + 3), k)
+
+    def by_first():
+        def step(columns):
+            for n, packed, c in zip(columns[0].to_pylist(), columns[1], columns[2], strict=True):
+                keys, counts = _keys(packed.as_py(), n), unpack(c.as_py(), n, np.int64)
+                first = (keys >> np.uint64(bits)).astype(np.int64)
+                second = (keys & np.uint64(size - 1)).astype(np.int64)
+                own = counts > cutoff
+                step.total[:size] += np.bincount(first, counts, minlength=size)
+                step.total[size : 2 * size] += np.bincount(first[own], discounted(counts[own], d), minlength=size)
+                step.total[2 * size :] += np.bincount(first[own], unigrams[second[own]], minlength=size)
+
+        step.total = np.zeros(3 * size)
+        return step
+
+    sums = summed_arrays(table.select("n", "keys", "counts"), by_first, 3 * size, "float64", 1 << 17)
+    return backoff(d, sums[:size], sums[size : 2 * size], sums[2 * size :], unigrams, bits)
+
+
+SCORES = "doc_id bigint, n_tokens bigint, log_prob double"
+
+
+def score(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", bits: int = VOCABULARY_BITS, cutoff: int = CUTOFF, list_tokens: int = LIST_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """doc_id, n_tokens, log_prob (natural, of all tokens; 3 places) and perplexity (3 places) of every row of docs.
+
+    The model is counted over all of train, or of docs themselves if that is None."""
+    spark = docs.sparkSession
+    own = narrow(docs, id=id_col, text=text_col)
+    base = own if train is None else narrow(train, id=id_col, text=text_col)
+    counts = unigram_counts(base.select("text"), bits)
+    parts = max(1, -(-int(counts.sum()) // part_tokens))
+    lists = lists_of(base, True, bits, parts, list_tokens)
+    if train is not None:
+        lists = lists.unionByName(lists_of(own, False, bits, parts, list_tokens))
+    lists = settled(lists)
+    asked = F.col("train") if train is None else ~F.col("train")
+    cut = lists.select("list", "train", asked.alias("asked"), F.explode("parts").alias("p")).select("list", "train", "asked", "p.part", "p.n", "p.keys", "p.counts")
+    folder = new_folder(spark, "bigrams")
+    cut.groupBy("part").applyInArrow(merged, TABLE).write.partitionBy("part").parquet(folder)
+    table = spark.read.schema(TABLE).parquet(folder)
+    model = fit(table, unigram_probabilities(counts), bits, cutoff)
+    shared = spark.sparkContext.broadcast(model)
+
+    def answer():
+        own_model = shared.value
+
+        def step(columns):
+            for part, n, keys, counts, names in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3], columns[4].to_pylist(), strict=True):
+                log = own_model.log_probabilities(_keys(keys.as_py(), n), unpack(counts.as_py(), n, np.int64), cutoff).astype(np.float32)
+                if names:
+                    yield {
+                        "list": [x["list"] for x in names],
+                        "part": [part] * len(names),
+                        "n": [x["n"] for x in names],
+                        "log": [pack(log[np.cumsum(unpack(x["places"], x["n"], np.int32))]) for x in names],
+                    }
+
+        return step
+
+    answers = per_batch(table.select("part", "n", "keys", "counts", "lists"), answer, "list bigint, part int, n int, log binary")
+    tokens = lists.where(asked).select("list", "ids", "known", "docs", "sizes", "places", "tokens")
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, n, log = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        known = np.zeros(0, bool)
+        if left.num_rows:
+            row = left.to_pylist()[0]
+            docs_n = row["docs"]
+            ids, known = unpack(row["ids"], docs_n, np.int64), unpack(row["known"], docs_n, np.uint8) > 0
+            n = unpack(row["sizes"], docs_n, np.int32).astype(np.int64)
+            right = right.sort_by("part")
+            each = [unpack(x.as_py(), k, np.float32) for x, k in zip(right["log"], right["n"].to_pylist(), strict=True)]
+            values = np.concatenate(each) if each else np.zeros(0, np.float32)
+            total = np.concatenate([[0.0], np.cumsum(values[unpack(row["places"], row["tokens"], np.int32)], dtype=np.float64)])
+            end = np.cumsum(n)
+            log = total[end] - total[end - n]
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~known), "n_tokens": n, "log_prob": pa.array(log, pa.float64(), mask=n == 0)})
+
+    found = tokens.groupBy("list").cogroup(answers.groupBy("list")).applyInArrow(scored, SCORES)
+    return found.select("doc_id", "n_tokens", F.round("log_prob", 3).alias("log_prob"), F.round(F.exp(-F.col("log_prob") / F.col("n_tokens")), 3).alias("perplexity"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
