@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import lexical
 from .frames import positional, place, settled
@@ -49,7 +50,7 @@ SEED = 5
 LEVEL_BITS = 12
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def word_count(text: pd.Series) -> pd.Series:
     texts, out = text.tolist(), []
     for a, b in lexical.chunks(texts):
