@@ -96,7 +96,7 @@ def year(text: Column) -> Column:
 def financial(text: Column) -> Column:
     """An amount such as '$1,200', '3.5k', '2M' or '12 percent' (0.12)."""
     s = replace(F.trim(text), "(?i)flat|[ ,\"'\t\n\r$]", "")
-    share = s.rlike(F.lit("(?i)(percent|pcnt|pct|pt|%)$"))
+    share = s.rlike("(?i)(percent|pcnt|pct|pt|%)$")
     s = replace(s, "(?i)(percent|pcnt|pct|pt|%)$", "")
     scale = F.when(s.endswith("k"), 1e3).when(s.endswith("M"), 1e6).otherwise(1.0)
     return replace(s, "[kM]$", "").try_cast("double") * scale * F.when(share, 0.01).otherwise(1.0)

@@ -133,7 +133,7 @@ DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTU
 
 def has(text: Column, pattern: str) -> Column:
     """Whether the pattern is found anywhere."""
-    return text.rlike(F.lit(pattern))
+    return text.rlike(pattern)
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -160,7 +160,7 @@ def token_class(token: Column) -> Column:
     """The first of TOKEN_CLASSES that matches the whole token, or null."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(TOKEN_CLASSES.items()):
-        out = F.when(token.rlike(F.lit(f"^(?:{pattern})$")), F.lit(name)).otherwise(out)
+        out = F.when(token.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     return out
 
 

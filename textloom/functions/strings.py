@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈ
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def replace(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
@@ -128,7 +135,7 @@ def identifier(text: Column, camel: bool = False, lower: bool = True, space: str
         out = F.when(F.startswith(out, F.lit(remove_prefix)), F.substring(out, len(remove_prefix) + 1, 1 << 30)).otherwise(out)
     if camel:
         spaced = replace(replace(F.lower(out), "[^a-z0-9]+", " "), "([0-9])([a-z])", "$1 $2")
-        needs = out.rlike(F.lit(P.PUNCTUATION_CLASS + r"|\s")) | (F.lower(out) == out)
+        needs = out.rlike(P.PUNCTUATION_CLASS + r"|\s") | (F.lower(out) == out)
         out = F.when(needs, F.replace(F.initcap(spaced), F.lit(" "), F.lit(""))).otherwise(replace(out, "[^a-zA-Z0-9]+", ""))
     else:
         out = F.lower(out) if lower else out
@@ -172,7 +179,7 @@ def serial_number(text: Column, length: int = 10, fill: str = "0", blank: str =
     out = F.trim(text) if strip else text
     out = replace(out, f"^(?:{invalid})+|(?:{invalid})+\\z", "")
     out = replace(out, invalid, "") if join else F.element_at(F.split(out, invalid), -1)
-    out = F.when(out.rlike(F.lit(P.NO_VALUE)), F.lit(blank)).otherwise(F.trim(out) if strip else out)
+    out = F.when(out.rlike(P.NO_VALUE), F.lit(blank)).otherwise(F.trim(out) if strip else out)
     out = F.right(out, F.lit(length))
     return F.when(F.length(out) < length, F.lpad(out, length, fill)).otherwise(out) if fill else out
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .strings import replace, strip_edge_punctuation, strip_html
+from .strings import let, replace, strip_edge_punctuation, strip_html
 
 #: Strings that aren't words.
 NOT_WORDS = ("", "'", ".", "_", "-")
@@ -33,9 +33,9 @@ def words(
             ok = ok & ~w.isin(*blacklist)
         return ok & w.isin(*whitelist) if whitelist else ok
 
-    found = F.transform(F.split(preprocess(text), separator), postprocess)
+    found = F.transform(F.split(preprocess(text), separator), lambda w: postprocess(w))
     if lower:
-        found = F.transform(found, F.lower)
+        found = F.transform(found, lambda w: F.lower(w))
     return F.filter(found, good)
 
 
@@ -49,26 +49,34 @@ def sentences(text: Column, separator: str = P.SENTENCE_SEPARATOR) -> Column:
     return F.filter(F.split(text, separator), lambda s: s != "")
 
 
-def kept_slices(items: Column, n: int) -> Column:
-    """All runs of n successive items; none where there are fewer."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.slice(items, i, n))).otherwise(F.expr("array()").cast("array<array<string>>"))
+def _runs(items: Column, size: Callable[[Column], Column], n: int, part: Callable[[Column, Column], Column], kind: str) -> Column:
+    """part(items, i) for all places i (from 1) that have n - 1 after them."""
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    return let(items, lambda v: F.when(size(v) >= n, F.transform(F.sequence(F.lit(1), size(v) - n + 1), lambda i: part(v, i))).otherwise(F.when(v.isNotNull(), empty)))
+
+
+def slices(items: Column, n: int) -> Column:
+    """All runs of n successive strings, as arrays; none where there are fewer."""
+    return _runs(items, F.size, n, lambda v, i: F.slice(v, i, F.lit(n)), "array<string>")
 
 
 def ngrams(items: Column, n: int = 2, separator: str | None = " ") -> Column:
     """Runs of n tokens, joined; as arrays if the separator is None."""
     if separator is None:
-        return kept_slices(items, n)
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), separator))).otherwise(F.expr("array()").cast("array<string>"))
+        return slices(items, n)
+    if n == 1:
+        return items
+    return _runs(items, F.size, n, lambda v, i: F.concat_ws(separator, *[F.get(v, i + (k - 1)) for k in range(n)]) if n <= 4 else F.array_join(F.slice(v, i, F.lit(n)), separator), "string")
 
 
 def ngram_range(items: Column, most: int, least: int = 1, separator: str = " ") -> Column:
     """All n-grams of n from least to most, the shortest first."""
-    return F.flatten(F.array(*[ngrams(items, n, separator) for n in range(least, most + 1)]))
+    return let(items, lambda v: F.flatten(F.array(*[ngrams(v, n, separator) for n in range(least, most + 1)])))
 
 
 def kmers(text: Column, k: int = 4) -> Column:
     """All substrings of length k, in order."""
-    return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.expr("array()").cast("array<string>"))
+    return _runs(text, F.length, k, lambda v, i: F.substring(v, i, F.lit(k)), "string")
 
 
 def sorted_kmers(text: Column, k: int = 4) -> Column:
@@ -91,7 +99,7 @@ def tokenize(text: Column, pattern: str = P.TOKEN, strip: str | None = "-_*`()\"
             t = stem(t)
         return F.lower(t) if lower else t
 
-    kept = F.filter(F.transform(found, clean), lambda t: (t != "") & ~t.rlike(F.lit(r"^[^\sA-Za-z0-9_]")) & (~t.isin(*stop) if stop else F.lit(True)))
+    kept = F.filter(F.transform(found, clean), lambda t: (t != "") & ~t.rlike(r"^[^\sA-Za-z0-9_]") & (~t.isin(*stop) if stop else F.lit(True)))
     return kept if max_n <= 1 else ngram_range(kept, max_n)
 
 

@@ -60,9 +60,9 @@ def ols_price_qty(t: Tables):
 
 
 @query("""
-SELECT source, target, round(value, 9) AS value FROM (SELECT 1 AS source, 0 AS target, corr(l_extendedprice, l_quantity) AS value FROM lineitem UNION ALL SELECT 2, 0, corr(l_tax, l_quantity) FROM lineitem UNION ALL SELECT 2, 1, corr(l_tax, l_extendedprice) FROM lineitem) WHERE value > 0.1""")
+SELECT source, target, round(value, 9) AS value FROM (SELECT 1 AS source, 0 AS target, corr(l_extendedprice, l_quantity) AS value FROM lineitem UNION ALL SELECT 2, 0, corr(l_tax, l_quantity) FROM lineitem UNION ALL SELECT 2, 1, corr(l_tax, l_extendedprice) FROM lineitem) WHERE value > -0.5""")
 def corr_edges(t: Tables):
-    return aggregates.correlation_edges(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"], 0.1).withColumn("value", F.round("value", 9))
+    return aggregates.correlation_edges(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"], -0.5).withColumn("value", F.round("value", 9))
 
 
 PAIRS = "WITH l AS (SELECT l_returnflag AS actual, CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_quantity > 25 THEN 'A' ELSE 'R' END AS predicted FROM lineitem)"
@@ -175,8 +175,8 @@ def align_daily(t: Tables):
 
 @query("""
 WITH s AS (SELECT user_id, epoch_us(ts) AS t, avg(value) AS v FROM events WHERE user_id < 20 GROUP BY ALL), b AS (SELECT user_id, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1, min(t) OVER (PARTITION BY user_id) AS f FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-e AS (SELECT user_id, min(t) AS f, max(t) AS l FROM s GROUP BY user_id), g AS (SELECT user_id, f + unnest(range(0, (l - f) // 21600000000 + 1)) * 21600000000 AS at FROM e)
-SELECT g.user_id, at // 1000000 AS secs, round(v + coalesce((v1 - v) * ((at - t) / (t1 - t)), 0), 6) AS value FROM g JOIN b ON g.user_id = b.user_id AND at >= t AND (t1 IS NULL OR at < t1)""")
+e AS (SELECT user_id, min(t) AS f, max(t) AS l FROM s GROUP BY user_id), g AS (SELECT user_id, f + unnest(range(0, (l - f) // 21600000000 + 1)) * 21600000000 AS grid_t FROM e)
+SELECT g.user_id, grid_t // 1000000 AS secs, round(v + coalesce((v1 - v) * ((grid_t - t) / (t1 - t)), 0), 6) AS value FROM g JOIN b ON g.user_id = b.user_id AND grid_t >= t AND (t1 IS NULL OR grid_t < t1)""")
 def resample_6h(t: Tables):
     r = windows.resampled(t.events.where("user_id < 20"), "ts", "value", "6 hours", ("user_id",))
     return r.select("user_id", F.unix_seconds("ts").alias("secs"), F.round("value", 6).alias("value"))

@@ -42,7 +42,7 @@ def transposed_words(t: Tables):
 
 
 @query("""
-SELECT array_to_string([c_custkey, c_mktsegment, c_name, c_nationkey], ', ') AS key, c_acctbal AS stat FROM customer""")
+SELECT array_to_string([c_custkey::VARCHAR, c_mktsegment, c_name, c_nationkey::VARCHAR], ', ') AS key, c_acctbal AS stat FROM customer""")
 def consolidated_stats(t: Tables):
     return reshape.consolidated_stats(t.customer, "c_acctbal")
 
@@ -113,9 +113,9 @@ def property_keys(t: Tables):
 
 
 @query("""
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 4) AS avg_discount, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def pricing_cube(t: Tables):
-    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count(F.lit(1)).alias("n"))
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 4).alias("avg_discount"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""
