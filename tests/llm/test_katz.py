@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from textloom.llm import katz as K
+
+
+def model(texts, bits, cutoff):
+    """The same model from dictionaries; returns a function (first, second) -> probability."""
+    uni, bi = Counter(), Counter()
+    for t in texts:
+        w = K.word_ids([t], bits)[0].tolist()
+        uni.update(w)
+        bi.update(zip([0, *w[:-1]], w, strict=True))
+
+    def gt(counts):
+        n = Counter(counts)
+        common = (K.K_MAX + 1) * n[K.K_MAX + 1] / n[1] if n[1] else 1.0
+        d = {}
+        for r in range(1, K.K_MAX + 1):
+            v = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0
+            d[r] = v if 0 < v < 1 else 1 - 0.5 / r
+        return lambda c: c * d.get(c, 1.0)
+
+    du, db = gt(uni.values()), gt(bi.values())
+    size = 1 << bits
+    u = {w: du(c) for w, c in uni.items()}
+    unseen = size - 1 - len(u)
+    left = max(sum(uni.values()) - sum(u.values()), 0.5) if unseen else 0.0
+    total = sum(u.values()) + left
+    p1 = lambda w: u[w] / total if w in u else left / unseen / total
+    first: dict[int, dict[int, int]] = {}
+    for (a, b), c in bi.items():
+        first.setdefault(a, {})[b] = c
+
+    def p(a, b):
+        own = first.get(a)
+        if not own:
+            return p1(b)
+        c = sum(own.values())
+        kept = {w: db(n) for w, n in own.items() if n > cutoff}
+        held, beside = sum(kept.values()), sum(p1(w) for w in kept)
+        scale = c / (c + 1) if c - held <= 1e-9 * c else 1.0
+        if 1 - beside <= 1e-9:
+            return (c / held if held else 1.0) * kept.get(b, 0) / c
+        if b in kept:
+            return scale * kept[b] / c
+        return (1 - scale * held / c) / (1 - beside) * p1(b)
+
+    return p
+
+
+TEXTS = ["the cat sat on the mat", "the cat ran", "a dog sat on the cat", "the the the the", "dog", "a b c d e f g a b c d a b c a b"] * 3 + ["the mat is new", "one two three one two"]
+
+
+@pytest.mark.parametrize("bits,cutoff,parts", [(6, 1, 7), (12, 0, 50), (20, 1, 1_000_000), (3, 1, 5)])
+def test_against_dictionaries(spark, frame, bits, cutoff, parts):
+    p = model(TEXTS, bits, cutoff)
+    got = {r.doc_id: r for r in K.score(frame(list(enumerate(TEXTS))), bits=bits, cutoff=cutoff, list_tokens=20, part_tokens=parts).collect()}
+    assert len(got) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        w = K.word_ids([t], bits)[0].tolist()
+        want = sum(math.log(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True))
+        assert got[i].n_tokens == len(w)
+        assert got[i].log_prob == pytest.approx(want, abs=2e-3)
+        assert got[i].perplexity == pytest.approx(math.exp(-want / len(w)), rel=1e-2)
+
+
+@pytest.mark.parametrize("bits,cutoff", [(4, 1), (7, 0), (7, 1)])
+def test_probabilities_add_up_to_one(bits, cutoff):
+    rng = np.random.default_rng(bits)
+    size = 1 << bits
+    words = rng.zipf(1.5, 4000) % (size - 1) + 1
+    before = np.concatenate([[0], words[:-1]])
+    uni = K.unigram_probabilities(np.bincount(words, minlength=size))
+    assert uni.sum() == pytest.approx(1) and uni[0] == 0 and (uni[1:] > 0).all()
+    keys, counts = np.unique((before << bits) | words, return_counts=True)
+    d = K.discounts(np.bincount(np.minimum(counts, K.K_MAX + 2), minlength=K.K_MAX + 3))
+    first, second, own = keys >> bits, keys & (size - 1), counts > cutoff
+    sums = lambda at, v: np.bincount(at, v, minlength=size)
+    b = K.backoff(d, sums(first, counts), sums(first[own], K.discounted(counts[own], d)), sums(first[own], uni[second[own]]), uni, bits)
+    known = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    for a in range(size):
+        every = (np.uint64(a) << np.uint64(bits)) | np.arange(1, size, dtype=np.uint64)
+        c = np.array([known.get(int(k), 0) for k in every])
+        assert np.exp(b.log_probabilities(every, c, cutoff)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_scoring_other_texts_than_those_trained_on(spark, frame):
+    other = ["the cat sat", "zebra giraffe", "mat the on"]
+    p = model(TEXTS, 10, 1)
+    got = {r.doc_id: r.log_prob for r in K.score(frame(list(enumerate(other))), frame(list(enumerate(TEXTS))), bits=10, list_tokens=10, part_tokens=30).collect()}
+    for i, t in enumerate(other):
+        w = K.word_ids([t], 10)[0].tolist()
+        assert got[i] == pytest.approx(sum(math.log(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True)), abs=2e-3)
+
+
+def test_awkward_rows(spark, clashing, awkward):
+    got = K.score(clashing(awkward), list_tokens=1000).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got if r.doc_id is not None) == sorted((False, i) for i, _ in awkward if i is not None)
+    by = {r.doc_id: r for r in got}
+    assert by[1].log_prob is None and by[2].n_tokens == 0 and by[4].perplexity is None
+    assert by[5].n_tokens == 120_000
+    assert len([r for r in got if r.doc_id == 6]) == 2
+
+
+def test_empty_tables(spark, frame):
+    assert K.score(frame([])).count() == 0
+    r = K.score(frame([(1, "a b")]), frame([]), bits=4).collect()[0]
+    assert r.log_prob == pytest.approx(2 * math.log(1 / 15), abs=1e-3)

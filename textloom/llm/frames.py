@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,44 +107,69 @@ def to_arrow(values, kind: pa.DataType) -> pa.Array:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array as compressed bytes."""
-    return pa.compress(np.ascontiguousarray(a).tobytes(), "zstd", asbytes=True) if len(a) else b""
+    """An array as compressed bytes; of integers, all lowest bytes first, then all second ones and so on."""
+    a = np.ascontiguousarray(a)
+    if not len(a):
+        return b""
+    if a.dtype.kind in "iu" and a.itemsize > 1:
+        a = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T)
+    return pa.compress(a.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(b: bytes, n: int, kind) -> np.ndarray:
     """The n values that were packed."""
     kind = np.dtype(kind)
-    return np.frombuffer(pa.decompress(b, n * kind.itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    if not n:
+        return np.zeros(0, kind)
+    flat = np.frombuffer(pa.decompress(b, n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    if kind.kind in "iu" and kind.itemsize > 1:
+        flat = np.ascontiguousarray(flat.reshape(kind.itemsize, n).T)
+    return flat.view(kind).reshape(n)
 
 
-def summed_arrays(df: DataFrame, make: Callable[[], Callable], sizes: int, kind: str = "int64", piece: int = 1 << 15) -> np.ndarray:
+#: Tasks whose arrays are added up by one task at first.
+FAN = 64
+
+
+def summed_arrays(df: DataFrame, make: Callable[[], Callable], sizes: int, kind: str = "int64", piece: int = 1 << 13) -> np.ndarray:
     """Arrays of a fixed length from all partitions, added up; the driver gets the one sum.
 
     make() is called once a task and returns a function that is called with each batch's columns and
-    adds to the array that its attribute total holds. Every task sends one array, in pieces that are
-    added up by as many tasks as there are pieces."""
+    adds to the array that its attribute total holds. Every task sends one array, in pieces; each piece
+    is added up for FAN tasks at a time, then for all. Pieces stream through, so a sum's memory is that of one piece."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
+        some = False
         for batch in batches:
             if batch.num_rows:
                 step(batch.columns)
-        total = step.total
-        for k, at in enumerate(range(0, sizes, piece)):
-            own = total[at : at + piece]
+                some = True
+        task = TaskContext.get()
+        fold = (task.partitionId() if task else 0) // FAN
+        for k, at in enumerate(range(0, sizes if some else 0, piece)):
+            own = step.total[at : at + piece]
             if own.any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "packed": pa.array([pack(own)], pa.binary())})
-
-    def added(table: pa.Table) -> pa.Table:
-        k = table["piece"][0].as_py()
-        n = min(piece, sizes - k * piece)
-        out = np.zeros(n, kind)
-        for b in table["packed"]:
-            out += unpack(b.as_py(), n, kind)
-        return pa.table({"piece": pa.array([k], pa.int32()), "packed": pa.array([pack(out)], pa.binary())})
-
-    schema = "piece int, packed binary"
-    rows = df.mapInArrow(part, schema).groupBy("piece").applyInArrow(added, schema).collect()
+                yield row(k, fold, own)
+
+    def row(k: int, fold: int, own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "fold": pa.array([fold], pa.int32()), "packed": pa.array([pack(own)], pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            for k, fold, b in zip(batch["piece"].to_pylist(), batch["fold"].to_pylist(), batch["packed"], strict=True):
+                n = min(piece, sizes - k * piece)
+                if out is None:
+                    out, at = np.zeros(n, kind), (k, fold)
+                out += unpack(b.as_py(), n, kind)
+        if out is not None:
+            yield row(*at, out)
+
+    added.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    schema = "piece int, fold int, packed binary"
+    some = df.mapInArrow(part, schema).groupBy("piece", "fold").applyInArrow(added, schema)
+    rows = some.groupBy("piece").applyInArrow(added, schema).collect()
     total = np.zeros(sizes, kind)
     for r in rows:
         n = min(piece, sizes - r.piece * piece)

@@ -252,7 +252,7 @@ def fit(table: DataFrame, unigrams: np.ndarray, bits: int, cutoff: int, k: int =
         step.total = np.zeros(3 * size)
         return step
 
-    sums = summed_arrays(table.select("n", "keys", "counts"), by_first, 3 * size, "float64", 1 << 17)
+    sums = summed_arrays(table.select("n", "keys", "counts"), by_first, 3 * size, "float64")
     return backoff(d, sums[:size], sums[size : 2 * size], sums[2 * size :], unigrams, bits)
 
 

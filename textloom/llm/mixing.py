@@ -200,17 +200,19 @@ def marks(docs: DataFrame, sources: list[tuple[str, str, float]], seed: int, id_
     pattern = F.lit(0)
     for b in bits:
         pattern = pattern + b
-    # Predicates see the columns by name; what is kept of them has positional names, so names may clash.
-    first, kept = {}, []
+    # Predicates see the columns by name (the first of those that differ by case only); what is kept has positional names.
+    kept = [f"in_{i}" for i in range(len(docs.columns))]
+    first: dict[str, int] = {}
     for i, name in enumerate(docs.columns):
-        kept.append(f"in_{i}")
-        if name.lower() not in first:
-            first[name.lower()] = f"in_{i}"
+        first.setdefault(name.lower(), i)
+    inside = "kept"
+    while inside in first:
+        inside += "_"
     inner = positional(docs)
-    named = inner.select(F.struct(*[F.col(c).alias(n) for n, c in first.items()]).alias("d"), *kept)
-    used = named.select("d.*", *[F.col(c).alias(f"__{c}") for c in kept])
-    hashed = F.xxhash64(F.lit(seed), f"__{place(docs, id_col)}", f"__{place(docs, text_col)}")
-    return used.select(pattern.cast("int").alias("pattern"), hashed.bitwiseAND((1 << 2 * LEVEL_BITS) - 1).alias("place"), *[F.col(f"__{c}").alias(c) for c in kept])
+    hashed = F.xxhash64(F.lit(seed), place(docs, id_col), place(docs, text_col))
+    named = inner.select(F.struct(hashed.alias("hash"), *kept).alias(inside), *[F.col(f"in_{i}").alias(docs.columns[i]) for i in first.values()])
+    within = lambda c: F.col(f"{inside}.{c}")
+    return named.select(pattern.cast("int").alias("pattern"), within("hash").bitwiseAND((1 << 2 * LEVEL_BITS) - 1).alias("place"), *[within(c).alias(c) for c in kept])
 
 
 def _selected(docs: DataFrame, sources, budget, max_copies, seed, id_col, text_col) -> tuple[DataFrame, DataFrame]:
