@@ -69,9 +69,9 @@ def ordinal_float(ts: Column) -> Column:
 
 
 def from_ordinal(days: Column) -> Column:
-    """The time that ordinal_float gives, to the microsecond; null for NaN and infinities."""
+    """The time that ordinal_float gives, to ten microseconds (what a double holds); null for NaN and infinities."""
     usable = F.abs(days) < 4e6
-    return F.when(usable, F.timestamp_micros(F.round((F.when(usable, days) - UNIX_ORDINAL) * 86_400e6).cast("bigint")))
+    return F.when(usable, F.timestamp_micros(F.round((F.when(usable, days) - UNIX_ORDINAL) * 8_640e6).cast("bigint") * 10))
 
 
 def days_since(ts: Column, start: Column) -> Column:

@@ -104,7 +104,7 @@ def shorten(text: Column, length: int = 16) -> Column:
     """As many of the first words, abbreviated, as fit into the length; the first is cut if it doesn't."""
     from .tokens import words
 
-    short = F.transform(words(text), abbreviate)
+    short = F.transform(words(text), lambda w: abbreviate(w))
     longest = F.aggregate(
         short,
         F.struct(F.lit("").alias("s"), F.lit(False).alias("done")),
@@ -181,6 +181,7 @@ def serial_number(text: Column, length: int = 10, fill: str = "0", blank: str =
     out = replace(out, invalid, "") if join else F.element_at(F.split(out, invalid), -1)
     out = F.when(out.rlike(P.NO_VALUE), F.lit(blank)).otherwise(F.trim(out) if strip else out)
     out = F.right(out, F.lit(length))
+    out = F.trim(out) if strip else out
     return F.when(F.length(out) < length, F.lpad(out, length, fill)).otherwise(out) if fill else out
 
 

@@ -108,7 +108,7 @@ def token_spans(text: Column, pattern: str = P.TOKEN) -> Column:
     empty = F.expr("cast(array() as array<struct<token: string, start: int, end: int>>)")
 
     def step(a: Column, t: Column) -> Column:
-        at = F.charindex(t, text, a["at"])
+        at = F.position(t, text, a["at"])
         return F.struct((at + F.length(t)).alias("at"), F.concat(a["out"], F.array(F.struct(t.alias("token"), (at - 1).alias("start"), (at - 1 + F.length(t)).alias("end")))).alias("out"))
 
     return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.struct(F.lit(1).alias("at"), empty.alias("out")), step, lambda a: a["out"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,6 @@ def flattened_files(spark: SparkSession, path: str, glob: str = "*.csv", separat
 
 def transcoded(spark: SparkSession, path: str, source: str = "shift_jis") -> DataFrame:
     """path and text of whole files in any encoding that Python knows; bytes that aren't valid are replaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: None if b is None else bytes(b).decode(source, "replace"))
