@@ -30,7 +30,7 @@ def scores(rows, trusted, buckets):
         if i is not None and i in trusted:
             target.update(grams(t))
     n, m = sum(raw.values()), sum(target.values())
-    ratio = lambda b: math.log((target[b] + 1) / (m + buckets)) - math.log((raw[b] + 1) / (n + buckets))
+    ratio = lambda b: math.log((target[b] * n / m + Q.PSEUDO) / (raw[b] + Q.PSEUDO))
     return [(i, round(sum(map(ratio, g)) / len(g), 6) if g else 0.0, len(g)) for i, t in rows for g in [grams(t)]]
 
 
@@ -65,7 +65,7 @@ def test_foreign_texts_are_rejected(spark, frame):
 
 def test_no_trusted_documents_and_no_documents(spark, frame):
     nobody = spark.createDataFrame([], "doc_id bigint")
-    assert Q.score_documents(frame([(1, "a b c")]), nobody).count() == 1
+    assert [(r.score, r.keep) for r in Q.score_documents(frame([(1, "a b c")]), nobody).collect()] == [(0.0, True)]
     assert Q.score_documents(frame([]), nobody).count() == 0
 
 

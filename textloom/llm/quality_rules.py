@@ -2,9 +2,11 @@
 
 Tokens (words with their case kept, and runs of punctuation) and pairs of
 adjacent tokens are hashed into a fixed number of buckets.
-Two multinomials with add-one smoothing are counted over the buckets: the
-target's over all trusted documents, the raw one over all documents. A
-document's score is the mean over its n-grams of
+Two multinomials are counted over the buckets: the target's over all trusted
+documents, the raw one over all documents. The target's counts are brought to
+the raw total, and both get PSEUDO counts a bucket, so that a bucket tells
+something once it is seen often enough, whatever the share of trusted
+documents and the size of the corpus. A document's score is the mean over its n-grams of
 log p_target(bucket) - log p_raw(bucket); it is kept if that is at least the
 threshold.
 
@@ -14,9 +16,9 @@ compute it as well.
 Cases: a null or blank text has no n-grams, scores 0.0 and is
 rejected as it has nothing to keep. Repeated rows count and score as often as
 they occur; a doc_id in more than one row makes all its rows trusted if it is
-trusted. A null doc_id is never trusted. Without trusted documents, or without
-documents, both models are uniform as far as counted, and other texts are
-scored as any other.
+trusted. A null doc_id is never trusted. Without trusted documents there is nothing to
+tell the two models apart: every n-gram has 0.0, and all texts that have any
+are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from .frames import broadcast_checked, keep_where, narrow, positional, settled,
 
 BUCKETS = 1 << 16
 #: Documents score about 0 if their n-grams are those of trusted text; foreign n-grams pull the mean down.
-THRESHOLD = -0.25
+THRESHOLD = -0.2
+#: Added to each bucket of both models.
+PSEUDO = 20
 PRIME = (1 << 31) - 1
 BASE, PAIR = 257, 1_000_003
 
@@ -91,7 +95,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ids = settled(positional(trusted).select(F.col("in_0").alias("known")).where("known is not null").distinct())
     marked = own.join(broadcast_checked(ids), F.col("id") == F.col("known"), "left").select("text", F.col("known").isNotNull().alias("trusted"))
     raw, target = ngram_counts(marked, buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    if not target.any():
+        return np.zeros(buckets)
+    return np.log((target * (raw.sum() / target.sum()) + PSEUDO) / (raw + PSEUDO))
 
 
 def scorer(spark: SparkSession, ratios: np.ndarray):
@@ -148,7 +154,7 @@ h AS (SELECT r, doc_id, i, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS n FROM
 g AS (SELECT r, doc_id, h % {BUCKETS} AS b FROM h UNION ALL SELECT r, doc_id, (h * {PAIR} + n) % {PRIME} % {BUCKETS} FROM h WHERE n IS NOT NULL),
 t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
 c AS (SELECT b, count(*) AS raw, count(t.doc_id) AS target FROM g LEFT JOIN t USING (doc_id) GROUP BY b),
-p AS (SELECT b, ln((target + 1) / (sum(target) OVER () + {BUCKETS})) - ln((raw + 1) / (sum(raw) OVER () + {BUCKETS})) AS q FROM c),
+p AS (SELECT b, CASE WHEN sum(target) OVER () = 0 THEN 0.0 ELSE ln((target * ((sum(raw) OVER ()) / (sum(target) OVER ())) + {PSEUDO}) / (raw + {PSEUDO})) END AS q FROM c),
 s AS (SELECT r, sum(q) / count(*) AS score, count(*) AS n_grams FROM g JOIN p USING (b) GROUP BY r)
 SELECT doc_id, round(coalesce(score, 0.0), 6) AS score, coalesce(n_grams, 0)::BIGINT AS n_grams,
        round(coalesce(score, 0.0), 6) >= {THRESHOLD} AND coalesce(n_grams, 0) > 0 AS keep
