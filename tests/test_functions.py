@@ -27,8 +27,8 @@ def test_words(apply):
 
 
 def test_treebank(apply):
-    got = apply(tokens.treebank, "Good muffins cost $3.88\nin New York.  Please buy me\ntwo of them.\nThanks.", "They'll save and invest more.", 'He said "cannot".')
-    assert got[0] == "Good muffins cost $ 3.88 in New York. Please buy me two of them. Thanks .".split()
+    got = apply(tokens.treebank, "Ripe apples cost $2.75\nin Old Rome.  Kindly get us\nfive of these.\nCheers.", "They'll save and invest more.", 'He said "cannot".')
+    assert got[0] == "Ripe apples cost $ 2.75 in Old Rome. Kindly get us five of these. Cheers .".split()
     assert got[1] == "They 'll save and invest more .".split()
     assert got[2] == "He said `` can not '' .".split()
 
@@ -107,8 +107,8 @@ def test_column_dates(apply):
 
 
 def test_addresses(apply):
-    assert apply(lambda x: P.emails(x, obfuscated=True), "Reach out to sombody.me (at) python.org if you like email@addresses.easy.com.", "What about dots in my {dot} name at python [dot] org?") == [["sombody.me (at) python.org", "email@addresses.easy.com"], ["my {dot} name at python [dot] org"]]
-    assert apply(P.urls, "Play the [sum game](http://totalgood.com/a/b?c=42) of life instead of svn://us.gov.") == [["http://totalgood.com/a/b?c=42", "svn://us.gov"]]
+    assert apply(lambda x: P.emails(x, obfuscated=True), "Write jane.q (at) example.org, or else first@mail.example.com.", "Is it jim {dot} hill at example [dot] org?") == [["jane.q (at) example.org", "first@mail.example.com"], ["jim {dot} hill at example [dot] org"]]
+    assert apply(P.urls, "See [this page](http://example.com/x/y?z=7), or svn://code.net.") == [["http://example.com/x/y?z=7", "svn://code.net"]]
     assert apply(P.emails, "a.b@c.org, x@y.zz") == [["a.b@c.org"]]
 
 
@@ -118,9 +118,9 @@ def test_pattern_library(apply):
     assert apply(found(P.bounded(P.ACRONYM)), "Hello ACRNYM cANDid ATe") == [["ACRNYM"]]
     assert apply(found(P.CAMEL_NORMAL), "EPR: AlbertEinstein BorisPodolsky And NathanRosen") == [["AlbertEinstein", "BorisPodolsky", "NathanRosen"]]
     assert apply(found(P.CAMEL), "EinsteinPR: Einstein bPodolskyNRA NOTNRAPodolsky") == [["EinsteinPR", "bPodolskyNRA", "NOTNRAPodolsky"]]
-    tough = "1on1 2_on_2\r19+2-1=4^2+2**2\tTitle9\n.Net and a I"
-    assert apply(found(P.WORD_BASIC), tough) == ["on1 on Title9 .Net and a I".split()]
-    assert apply(found(P.WORD_ALGEBRA), tough) == ["1on1 2_on_2 19+2-1=4^2+2**2 Title9 .Net and a I".split()]
+    tough = "5by5 3_by_3\n7*8-6=50 Part3 .Org or a U"
+    assert apply(found(P.WORD_BASIC), tough) == ["by5 by Part3 .Org or a U".split()]
+    assert apply(found(P.WORD_ALGEBRA), tough) == ["5by5 3_by_3 7*8-6=50 Part3 .Org or a U".split()]
     assert apply(lambda x: F.split(x, P.EXPONENT), " 1E10 and 1 x 10 ^23 ") == [[" 1", "10 and 1", "23 "]]
     v = apply(P.version_parts, "__version__ = '0.0.18'")[0]
     assert (v.major, v.minor, v.patch) == (0, 0, 18)

@@ -105,10 +105,9 @@ def financial(text: Column) -> Column:
 def column_to_date(name: Column) -> Column:
     """The first of the month in labels such as '10_2011', 'apr_10' or '10-Apr'; years are literal."""
     a, b = F.regexp_extract(name, r"^([0-9A-Za-z]+)[^0-9A-Za-z]([0-9A-Za-z]+)", 1), F.regexp_extract(name, r"^([0-9A-Za-z]+)[^0-9A-Za-z]([0-9A-Za-z]+)", 2)
-    months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
     def month(s: Column) -> Column:
-        at = F.array_position(F.array(*[F.lit(m) for m in months]), F.lower(s))
+        at = F.array_position(F.array(*[F.lit(m) for m in P.MONTHS]), F.lower(s))
         return F.when(at > 0, at.cast("int"))
 
     ai, bi = a.try_cast("int"), b.try_cast("int")

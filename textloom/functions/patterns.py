@@ -16,7 +16,7 @@ APOSTROPHES = "'`’"
 POPULAR_TLDS = ["com", "org", "edu", "gov", "net", "mil", "uk", "ca", "de", "jp", "fr", "au", "us", "ru", "ch", "it", "nl", "se", "no", "es"]
 #: More of the registered top-level domains; longer ones are tried first.
 TLDS = sorted({*POPULAR_TLDS, *"aero asia biz cat coop info int jobs mobi museum name post pro tel travel xxx app blog cloud dev online shop site tech xyz ac ae af ag ai al am ao ar as at az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz cc cd cf cg ci ck cl cm cn co cr cu cv cw cx cy cz dj dk dm do dz ec ee eg er et eu fi fj fk fm fo ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is je jm jo ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs rw sa sb sc sd sg sh si sk sl sm sn so sr st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()}, key=lambda x: (-len(x), x))
-POPULAR_SCHEMES = "chrome-extension example content bitcoin telnet mailto https gtalk http smtp feed udp ftp ssh git apt svn cvs".split()
+POPULAR_SCHEMES = sorted("http https ftp ssh git svn cvs smtp mailto telnet udp feed apt bitcoin gtalk content example chrome-extension".split(), key=lambda x: (-len(x), x))
 SCHEMES = sorted({*POPULAR_SCHEMES, *"file data irc ldap news nfs rtsp sftp sip sips sms tel urn ws wss xmpp magnet gopher imap pop rsync".split()}, key=lambda x: (-len(x), x))
 
 
@@ -36,8 +36,8 @@ USER = r"[a-zA-Z0-9.!#$%&*+,/=?^_`{|}~:;<>-]+"
 _EMAIL_USER = r"[a-zA-Z0-9](?:[a-zA-Z0-9.!#$%&*+/=?^_`{|}~-]*[a-zA-Z0-9_])?"
 EMAIL = rf"(?<!{W})({_EMAIL_USER}@[a-zA-Z0-9-]+(?:[.][a-zA-Z0-9-]+)*[.](?:{one_of(TLDS)})){END}"
 EMAIL_POPULAR = rf"(?<!{W})({_EMAIL_USER}@[a-zA-Z0-9-]+(?:[.][a-zA-Z0-9-]+)*[.](?:{one_of(POPULAR_TLDS)})){END}"
-AT = r"(?:[-@=\"_(\[{|\s]+(?:at|At|AT)[-@=\"_)\]}|\s]+|@)"
-DOT = r"(?:[-.=\"_(\[{|\s]+(?:dot|dt|Dot|DOT)[-.=\"_)\]}|\s]+|[.])"
+AT = r"(?:[\s|\[({\"_=@-]+(?:AT|[Aa]t)[\s|\])}\"_=@-]+|@)"
+DOT = r"(?:[\s|\[({\"_=.-]+(?:DOT|[Dd]ot|dt)[\s|\])}\"_=.-]+|[.])"
 USER_OBFUSCATED = rf"(?:[a-zA-Z0-9!#$%&*+/?^`~]+{DOT}?){{1,7}}"
 FQDN_OBFUSCATED = rf"(?:[a-zA-Z0-9-]+{DOT}){{1,7}}(?:{one_of(TLDS)})"
 FQDN_POPULAR_OBFUSCATED = rf"(?:[a-zA-Z0-9-]+{DOT}){{1,7}}(?:{one_of(POPULAR_TLDS)})"
@@ -48,25 +48,26 @@ URL_SCHEME, URL_SCHEME_POPULAR = rf"(?:{one_of(SCHEMES)})://", rf"(?:{one_of(POP
 URL = rf"{START}({URL_SCHEME}{HOST}[.](?:{one_of(TLDS)})(?!{W})(?:[/?#:]\S*(?<={W}))?)"
 URL_POPULAR = rf"{START}({URL_SCHEME_POPULAR}{HOST}[.](?:{one_of(POPULAR_TLDS)})(?!{W})(?:[/?#:]\S*(?<={W}))?)"
 
-LIST_BULLET = r"^\s*[! \t@#%.?(*+=-_]*[0-9.]*[#-_.)]*\s+"
+LIST_BULLET = r"^\s*[\t !#%(*+.=-_]*[.0-9]*[#-_]*\s+"
 NON_DIGIT, NON_PHRASE = r"[^0-9]+", r"[^A-Za-z0-9_\s/&'-]"
-TIME_IN_PARENTHESES = r"(?i)([^(]*)\(\s*(\d+)\s*(?:min)?\s*\)([^(]*)"
+TIME_IN_PARENTHESES = r"(?i)([^(]*)[(]\s*([0-9]+)\s*(?:min\s*)?[)]([^(]*)"
 NON_WORD_CHARACTER, WHITE_SPACE = f"[^{W[1:]}", r"\s"
 NON_ASCII, NON_ASCII_RUN, ASCII = r"[^\x00-\x7F]", r"[^\x00-\x7F]+", r"[\x00-\x7F]"
 EXPONENT = r"\s*(?:[xX]\s*10\s*[*^]{1,2}|[eE])\s*"
 NOT_DIGITS_OR_COMMAS, NOT_DIGITS_OR_SIGNS = r"[^0-9,]+", r"[^0-9+-]+"
-WORD_SEPARATOR = rf"[^A-Za-z0-9_]*\s'{{1,3}}|'{{1,3}}[^A-Za-z0-9_]+|[^-'_.a-zA-Z0-9]+|[^A-Za-z0-9_]+\s+"
-WORD_SEPARATOR_PERMISSIVE = r"[^'a-zA-Z0-9]\s[^A-Za-z0-9_]*|[^-'_.a-zA-Z0-9]+"
+WORD_SEPARATOR = r"[^A-Za-z0-9_]*\s'{1,3}|'{1,3}[^A-Za-z0-9_]+|[^A-Za-z0-9_.'-]+|[^A-Za-z0-9_]+\s+"
+WORD_SEPARATOR_PERMISSIVE = r"[^A-Za-z0-9']\s[^A-Za-z0-9_]*|[^A-Za-z0-9_.'-]+"
 SENTENCE_SEPARATOR = r"[.?!][^A-Za-z0-9_]+"
-MONTH_NAME = r"(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[acbeihmlosruty]*"
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTH_NAME = f"(?i)({one_of(MONTHS)})[abcehilmorstuy]*"
 JS_NAME = r"^[_$a-zA-Z -￿][_$a-zA-Z0-9 -￿]*$"
-WIKIPEDIA_SPECIAL = r".*wikipedia[.]org/wiki/[^:]+:.*"
+WIKIPEDIA_SPECIAL = "wikipedia[.]org/wiki/[^:]+:"
 NO_VALUE = r"(?i)^(?:unkn?own|unkn?|none|null|nan|n/?a|[.]+|-+|=+|_+|[*]+|[?]+)$"
-NOT_SYMBOL = r"[Nn][Oo][Tt]|[~!^-]"
+NOT_SYMBOL = "(?i:not)|[~!^-]"
 NOT_OPERAND = rf"^({NOT_SYMBOL})?\s*(.*)\s*$"
-SERIAL = r"0{0,6}[1-9][0-9]{3,9}"
+SERIAL = "0{0,6}(?!0)[0-9]{4,10}"
 NOT_SERIAL = rf"^\s*({NOT_SYMBOL})?\s*({SERIAL})\s*$"
-VERSION = r"^\s*_{0,2}version_{0,2}\s*=\s*'(\d*!)?(\d+)\.(\d+)(\.(\d+))?((a|b|rc)\d*)?'"
+VERSION = r"^\s*_{0,2}version_{0,2}\s*=\s*'(?:[0-9]*!)?([0-9]+)[.]([0-9]+)(?:[.]([0-9]+))?(?:(?:a|b|rc)[0-9]*)?'"
 
 WORD = r"^([a-zA-Z][a-zA-Z_-]*[A-Za-z0-9_])[^A-Za-z0-9_]*$"
 WORD_BASIC, WORD_LIBERAL = r"[.]?[a-zA-Z]+[0-9]*", r"[a-zA-Z0-9_.-]+"
@@ -177,7 +178,7 @@ def negation(text: Column) -> Column:
 def version_parts(text: Column) -> Column:
     """(major, minor, patch) of a line that sets __version__; null where there is none."""
     part = lambda i: F.regexp_extract(text, VERSION, i).try_cast("int")
-    return F.struct(part(2).alias("major"), part(3).alias("minor"), part(5).alias("patch"))
+    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"))
 
 
 def minutes_in_parentheses(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-ABBREVIATIONS = {"account": "acct", "number": "num", "customer": "cust", "member": "membr", "building": "bldg", "serial number": "SN", "social security number": "SSN"}
+ABBREVIATIONS = {"social security number": "SSN", "serial number": "SN"} | dict(building="bldg", customer="cust", account="acct", member="membr", number="num")
 #: Look-alikes beyond ASCII.
 LOOKALIKES = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "×": "x", "´": "'", "…": ".", " ": " "}
 ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"

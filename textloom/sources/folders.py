@@ -11,5 +11,5 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept where all executors see it: in spark.checkpoint.dir, or if that is unset (as in tests) in a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint(eager=True)
