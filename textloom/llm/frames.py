@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     The SparkContext's checkpoint folder is set to it."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_textloom_dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_textloom_dir", None)
     if at is None:
         at = sc._textloom_dir = "file://" + tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)

@@ -85,7 +85,7 @@ def bucket_weights(frequencies: np.ndarray) -> np.ndarray:
 def sign_table(weights: np.ndarray, seed: int = SEED) -> np.ndarray:
     """For each bucket its weight with the signs of its bits."""
     raw = np.random.default_rng(seed).integers(0, 256, (len(weights), BITS // 8), np.uint8)
-    return (np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1) * weights[:, None]
+    return (np.unpackbits(raw, axis=1).astype(np.int16) * 2 - 1) * weights[:, None]
 
 
 def fingerprints_of(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +94,10 @@ def fingerprints_of(texts: list[str | None], table: np.ndarray) -> tuple[np.ndar
     for a, b in lexical.chunks(texts, lexical.CHUNK_CHARS // 2):
         bucket, doc = feature_buckets(texts[a:b], len(table))
         sizes[a:b] = n = np.bincount(doc, minlength=b - a)
-        has = np.flatnonzero(n)
-        if len(has):
-            first = (np.cumsum(n) - n)[has]
-            sums = np.add.reduceat(table[bucket], first, axis=0, dtype=np.int32)
-            out[a + has] = np.packbits(sums > 0, axis=1).view(np.uint64)
+        end = np.cumsum(n)
+        for i in np.flatnonzero(n):
+            sums = table.take(bucket[end[i] - n[i] : end[i]], 0).sum(0, dtype=np.int32)
+            out[a + i] = np.packbits(sums > 0).view(np.uint64)
     return out, sizes
 
 
