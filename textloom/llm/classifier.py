@@ -96,9 +96,8 @@ def pooled(texts: list[str | None], vectors: np.ndarray) -> tuple[np.ndarray, np
     for a, b in lexical.chunks(texts):
         bucket, _, first = token_buckets(texts[a:b], len(vectors))
         sizes[a:b] = n = np.diff(first)
-        has = np.flatnonzero(n)
-        if len(has):
-            means[a + has] = np.add.reduceat(vectors[bucket], first[:-1][has], axis=0) / n[has, None]
+        for i in np.flatnonzero(n):
+            means[a + i] = vectors.take(bucket[first[i] : first[i + 1]], 0).sum(0) / n[i]
     return means, sizes
 
 
