@@ -194,7 +194,7 @@ def density_summary(t: Tables):
 
 @query("SELECT date_trunc('week', ts) AS period, count(*) AS n FROM events GROUP BY period")
 def datetime_histogram(t: Tables):
-    return aggregates.datetime_histogram(t.events, "ts", "week")
+    return aggregates.datetime_histogram(t.events, "ts", "week").select(F.col("period").cast("timestamp_ntz").alias("period"), "n")
 
 
 @query("""

@@ -130,7 +130,7 @@ def customers_without_orders(t: Tables):
 
 
 @query("""
-SELECT position, source, target, value FROM (VALUES (0, 0, 1, 5.0), (1, 1, 2, 4.0), (2, 2, 0, 2.5)) v(position, source, target, value)""")
+SELECT position, source, target, value::DOUBLE AS value FROM (VALUES (0, 0, 1, 5.0), (1, 1, 2, 4.0), (2, 2, 0, 2.5)) v(position, source, target, value)""")
 def graph_edges(t: Tables):
     from ..operators import graphs
 
