@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import simhash as S
 
@@ -126,3 +127,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in S.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_components_of_edges_that_change_between_evaluations(spark):
+    """Edges that come out differently each time, all of one group, still give the one group."""
+    star = spark.range(1, 200).select((F.floor(F.rand() * F.col("id"))).cast("bigint").alias("u"), F.col("id").alias("v"))
+    got = S.components(star.select("u", "v"))
+    assert got.count() == 200 and {r.root for r in got.select("root").distinct().collect()} == {0}

@@ -240,6 +240,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, lead_radius: int = LEAD_RAD
         return step
 
     def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")  # the order of arrival doesn't matter
         rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
         fp = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(rep), -1)
         a, i, b, j = table["cell"][0].as_py().split(".")
@@ -257,7 +258,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the lowest node of its component) of every node of edges (u, v).
 
     Every round a node takes the lowest label around it and then that label's label."""
-    both = settled(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # Both directions of each edge from one evaluation: another one may give another forest of the same groups.
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = settled(edges.where("u <> v").select(ends.alias("e")).select("e.*").distinct())
     labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
         around = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("low"))
