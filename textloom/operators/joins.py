@@ -95,7 +95,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """node and root (the lowest string of its group) for undirected edges u, v; results are checkpointed each round."""
     from ..sources.folders import settled
 
-    both = settled(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = settled(edges.select(ends.alias("e")).select("e.*").distinct())
     labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
         low = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("low"))
