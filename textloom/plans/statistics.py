@@ -218,3 +218,17 @@ SELECT w AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM
 def event_windows_sliding(t: Tables):
     w = event_windows.sliding(t.events)
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def streamed_daily(t: Tables):
+    """The daily windows by a stream that reads the table and ends."""
+    import uuid
+
+    from ..sources.folders import shared_folder
+
+    name = f"streamed_{uuid.uuid4().hex}"
+    events = event_windows.stream(t.spark, f"{t.folder}/event[s].parquet")  # a pattern, as the table may be a single file
+    w = event_windows.run_to_table(event_windows.tumbling(events), name, f"{shared_folder(t.spark)}/{name}")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -136,3 +136,40 @@ def graph_edges(t: Tables):
 
     text = t.spark.createDataFrame([(1, "Origin,3,9_Middle_5~Middle_End~End_Origin_2.5")], "id int, text string")
     return graphs.edges(text, "id", "text").select("position", F.col("source"), F.col("target"), "value")
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def delimited_round_trip(t: Tables):
+    """A table written with tabs and read again."""
+    import uuid
+
+    from ..sources import delimited
+    from ..sources.folders import shared_folder
+
+    path = f"{shared_folder(t.spark)}/nation-{uuid.uuid4().hex}.tsv"
+    delimited.write(t.nation, path)
+    return delimited.read(t.spark, path, "\t", normalize_names=True)
+
+
+@query("""
+SELECT (day + h * INTERVAL 1 HOUR)::TIMESTAMP AS ts, round(v, 4) AS value FROM (
+  SELECT day, h, sum(value) FILTER (WHERE hour(ts) = h) AS v FROM (SELECT CAST(ts AS DATE) AS day, ts, value FROM events), (VALUES (9), (10)) x(h) GROUP BY ALL)""")
+def flattened_hours(t: Tables):
+    """A row for each day and a column for each of two hours, made long again."""
+    hours = {f"{h:02}:00": F.sum(F.when(F.hour("ts") == h, F.col("value"))) for h in (9, 10)}
+    wide = t.events.groupBy(F.to_date("ts").alias("date")).agg(*[v.alias(k) for k, v in hours.items()])
+    return reshape.flattened_times(wide).select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("value", 4).alias("value"))
+
+
+@query("SELECT epoch(o_orderdate)::DOUBLE AS o_orderdate, o_totalprice, NULL::DOUBLE AS o_orderstatus FROM orders")
+def quantified_orders(t: Tables):
+    return reshape.quantified(t.orders.select("o_orderdate", "o_totalprice", "o_orderstatus"))
+
+
+@query("""
+SELECT index, name, charge::DOUBLE AS charge, node_group FROM (VALUES (0, 'Origin', 3.0, 9), (1, 'Middle', 1.0, 0), (2, 'End', 1.0, 0)) v(index, name, charge, node_group)""")
+def graph_nodes(t: Tables):
+    from ..operators import graphs
+
+    text = t.spark.createDataFrame([(1, "Origin,3,9_Middle_5~Middle_End~End_Origin_2.5")], "id int, text string")
+    return graphs.nodes(text, "id", "text").drop("graph")

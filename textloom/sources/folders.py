@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept where all executors see it: in spark.checkpoint.dir, or if that is unset (as in tests) in a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or if that is unset (as in tests) a temporary folder; the context's checkpoint folder is set to it."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_textloom_dir", None)
+    if at is None:
+        at = sc._textloom_dir = "file://" + tempfile.mkdtemp(prefix="textloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
