@@ -143,6 +143,8 @@ def nearest(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: st
     asked = rows.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), block.cast("int").alias("block"), F.lit(1).alias("side"), "id", "packed")
 
     def searched(cell: pa.Table) -> pa.Table:
+        # Sorted, as where the first windows start depends on a few rows: the result is the same each time.
+        cell = cell.sort_by([("side", "ascending"), ("id", "ascending"), ("packed", "ascending")])
         side, ids = cell["side"].to_numpy(), cell["id"].to_numpy()
         x = np.frombuffer(b"".join(cell["packed"].to_pylist()), np.float32).reshape(-1, d)
         owner, near, distance = [], [], []
