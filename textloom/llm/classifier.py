@@ -25,12 +25,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexical
-from .frames import keep_where, narrow, summed_arrays
+from .frames import keep_where, narrow, summed_arrays, trim
 
 BUCKETS, DIMENSIONS, WINDOW, SEED = 1 << 15, 48, 2, 7
 MAX_LABELLED = 20_000
@@ -46,7 +46,7 @@ def index_vectors(buckets: int, dimensions: int, seed: int) -> tuple[np.ndarray,
     return plus, (plus + rng.integers(1, dimensions, buckets)) % dimensions
 
 
-def token_buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_buckets(texts: lexical.Texts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token's bucket and text, and the first token of each text."""
     w = lexical.tokens(texts)
     b = (w.hashes() % np.uint64(buckets - 1)).astype(np.int64) + 1
@@ -68,8 +68,8 @@ def count_contexts(texts: DataFrame, buckets: int, dimensions: int, window: int,
             step.total -= np.bincount(at + minus[near], minlength=cells)
 
         def step(columns):
-            rows = columns[0].to_pylist()
-            for a, b in lexical.chunks(rows, 4 * lexical.CHUNK_CHARS):
+            rows = columns[0]
+            for a, b in lexical.chunks(rows):
                 bucket, doc, _ = token_buckets(rows[a:b], buckets)
                 here, near = [bucket], [bucket]
                 for k in range(1, window + 1):
@@ -90,7 +90,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS
     return (sums / np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pooled(texts: lexical.Texts, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The mean vector and the number of tokens of each text."""
     means, sizes = np.zeros((len(texts), vectors.shape[1]), np.float32), np.zeros(len(texts), np.int64)
     for a, b in lexical.chunks(texts):
@@ -170,9 +170,9 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def pooled_column(spark: SparkSession, vectors: np.ndarray):
     shared = spark.sparkContext.broadcast(vectors)
 
-    @F.pandas_udf("array<float>")
-    def pool(text: pd.Series) -> pd.Series:
-        return pd.Series(list(pooled(text.tolist(), shared.value)[0]))
+    @F.arrow_udf("array<float>")
+    def pool(text: pa.Array) -> pa.Array:
+        return pa.array(list(pooled(text, shared.value)[0]), pa.list_(pa.float32()))
 
     return pool
 
@@ -193,11 +193,12 @@ def scorer(spark: SparkSession, vectors: np.ndarray, net: Network):
     """A column function: text -> calibrated probability of good quality. Its tables have fixed sizes."""
     shared = spark.sparkContext.broadcast((vectors, net))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         table, network = shared.value
-        x, sizes = pooled(text.tolist(), table)
-        return pd.Series(np.where(sizes > 0, np.round(network.probabilities(x), 6), 0.0))
+        x, sizes = pooled(text, table)
+        trim()
+        return pa.array(np.where(sizes > 0, np.round(network.probabilities(x), 6), 0.0), pa.float64())
 
     return score
 

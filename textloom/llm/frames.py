@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -79,6 +80,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def trim() -> None:
+    """Give memory that this worker no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict]]], schema: str) -> DataFrame:
     """mapInArrow with dicts of columns. make() is called once a task and returns a function
     from the list of a batch's columns (Python lists) to dicts of columns."""
@@ -93,6 +102,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict]]
             if batch.num_rows:
                 for out in step(batch.columns):
                     yield pa.RecordBatch.from_arrays([to_arrow(out[f.name], f.type) for f in arrow], schema=arrow)
+                trim()
         finish = getattr(step, "finish", None)
         for out in finish() if finish else ():
             yield pa.RecordBatch.from_arrays([to_arrow(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -145,6 +155,7 @@ def summed_arrays(df: DataFrame, make: Callable[[], Callable], sizes: int, kind:
             if batch.num_rows:
                 step(batch.columns)
                 some = True
+                trim()
         task = TaskContext.get()
         fold = (task.partitionId() if task else 0) // FAN
         for k, at in enumerate(range(0, sizes if some else 0, piece)):

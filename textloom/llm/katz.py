@@ -46,7 +46,7 @@ VOCABULARY_BITS, K_MAX, CUTOFF = 20, 5, 1
 LIST_TOKENS, PART_TOKENS = 3_000_000, 4_000_000
 
 
-def word_ids(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(texts: lexical.Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids (1 .. 2**bits - 1) of all words, and where each text's begin."""
     w = lexical.words(texts)
     return (w.hashes() % np.uint64((1 << bits) - 1)).astype(np.int64) + 1, w.first
@@ -57,7 +57,7 @@ def unigram_counts(texts: DataFrame, bits: int) -> np.ndarray:
 
     def make():
         def step(columns):
-            rows = columns[0].to_pylist()
+            rows = columns[0]
             for a, b in lexical.chunks(rows):
                 step.total += np.bincount(word_ids(rows[a:b], bits)[0], minlength=size)
 
@@ -171,7 +171,7 @@ def lists_of(texts: DataFrame, train: bool, bits: int, parts: int, list_tokens:
             return out
 
         def step(columns):
-            texts = columns[1].to_pylist()
+            texts = columns[1]
             for a, b in lexical.chunks(texts):
                 w, first = word_ids(texts[a:b], bits)
                 held["ids"].append(columns[0].slice(a, b - a))

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled at a time; bounds the memory of a Python worker.
 CHUNK_CHARS = 400_000
@@ -72,9 +74,13 @@ class Words:
         return span_hashes(self.codes, self.starts, self.ends)
 
 
-def code_points(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: Texts as a list, or as an Arrow array, of which only the slice at hand becomes Python strings.
+Texts = list[str | None] | pa.Array
+
+
+def code_points(texts: Texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """All texts' code points with a line end after each, and where each text begins (and the end)."""
-    own = [(t.lower() if lower else t) if t else "" for t in texts]
+    own = [(t.lower() if lower else t) if t else "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
     bounds = np.zeros(len(own) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in own], out=bounds[1:])
     joined = "\n".join(own) + "\n"
@@ -89,7 +95,7 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def words(texts: list[str | None], lower: bool = True) -> Words:
+def words(texts: Texts, lower: bool = True) -> Words:
     codes, bounds = code_points(texts, lower)
     starts, ends = runs(_WORD[np.minimum(codes, 255)])
     return Words(codes, starts, ends, *owners(starts, bounds))
@@ -100,7 +106,7 @@ _KIND[33:127] = 2
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def tokens(texts: list[str | None]) -> Words:
+def tokens(texts: Texts) -> Words:
     """Words with their case kept, and runs of ASCII punctuation: the matches of
     ``[A-Za-z0-9\\x80-\\U0010FFFF]+|[!-/:-@\\[-`{-~]+``."""
     codes, bounds = code_points(texts, lower=False)
@@ -117,11 +123,12 @@ def owners(starts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(np.arange(len(bounds) - 1), np.diff(first)), first
 
 
-def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+def chunks(texts: Texts, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most characters; a longer text has a range of its own."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 1
+    lengths = pc.utf8_length(texts).fill_null(0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
+    for i, n in enumerate(lengths):
+        n += 1
         if size and size + n > most:
             yield begin, i
             begin, size = i, 0

@@ -66,7 +66,7 @@ def tokens(text: str) -> list[str]:
 class Blocks:
     """The lines of some texts, and for each of their tokens its place in a sorted list of known hashes."""
 
-    def __init__(self, texts: list[str | None], known: np.ndarray):
+    def __init__(self, texts: lexical.Texts, known: np.ndarray):
         codes, bounds = lexical.code_points(texts)
         inside = ((codes >= 97) & (codes <= 122)) | ((codes >= 48) & (codes <= 57))
         starts, ends = lexical.runs(inside)
@@ -140,7 +140,7 @@ def block_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]
 
     def make():
         def step(columns):
-            rows = columns[0].to_pylist()
+            rows = columns[0]
             for a, b in lexical.chunks(rows):
                 step.total += np.bincount(Blocks(rows[a:b], known).token, minlength=n)
 
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def make():
         def step(columns):
-            ids, rows = columns[0].to_pylist(), columns[1].to_pylist()
+            ids, rows = columns[0].to_pylist(), columns[1]
             out = {"doc_id": [], "block": [], "template": [], "overlap": [], "containment": []}
             for a, b in lexical.chunks(rows):
                 blocks = Blocks(rows[a:b], index.known)

@@ -25,7 +25,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -50,12 +51,10 @@ SEED = 5
 LEVEL_BITS = 12
 
 
-@F.pandas_udf(LongType())
-def word_count(text: pd.Series) -> pd.Series:
-    texts, out = text.tolist(), []
-    for a, b in lexical.chunks(texts):
-        out.extend(pd.Series(lexical.words(texts[a:b]).first).diff().iloc[1:].astype("int64").tolist())
-    return pd.Series(out, dtype="int64")
+@F.arrow_udf(LongType())
+def word_count(texts: pa.Array) -> pa.Array:
+    counts = [np.diff(lexical.words(texts[a:b]).first) for a, b in lexical.chunks(texts)]
+    return pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
 
 class Network:

@@ -24,12 +24,12 @@ are kept. An empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexical
-from .frames import broadcast_checked, keep_where, narrow, positional, settled, summed_arrays
+from .frames import broadcast_checked, keep_where, narrow, positional, settled, summed_arrays, trim
 
 BUCKETS = 1 << 16
 #: Documents score about 0 if their n-grams are those of trusted text; foreign n-grams pull the mean down.
@@ -61,7 +61,7 @@ def word_codes(w: lexical.Words) -> np.ndarray:
     return (total[w.ends] - total[w.starts]) % PRIME * _modular_powers(BASE, n + 1)[w.ends - 1] % PRIME
 
 
-def features(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: lexical.Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all tokens and token pairs, and the index of the text of each."""
     w = lexical.tokens(texts)
     h = word_codes(w)
@@ -75,7 +75,7 @@ def ngram_counts(texts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray,
 
     def make():
         def step(columns):
-            rows, trusted = columns[0].to_pylist(), columns[1].to_numpy(zero_copy_only=False)
+            rows, trusted = columns[0], columns[1].to_numpy(zero_copy_only=False)
             for a, b in lexical.chunks(rows):
                 bucket, doc = features(rows[a:b], buckets)
                 step.total += np.bincount(bucket + buckets * trusted[a:b].astype(np.int64)[doc], minlength=2 * buckets)
@@ -104,15 +104,16 @@ def scorer(spark: SparkSession, ratios: np.ndarray):
     """A column function: text -> mean log ratio (0.0 without n-grams). The table has a fixed size."""
     shared = spark.sparkContext.broadcast(ratios)
 
-    @F.pandas_udf("struct<score: double, n_grams: bigint>")
-    def score(text: pd.Series) -> pd.DataFrame:
-        table, texts = shared.value, text.tolist()
+    @F.arrow_udf("struct<score: double, n_grams: bigint>")
+    def score(texts: pa.Array) -> pa.Array:
+        table = shared.value
         scores, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for a, b in lexical.chunks(texts):
             bucket, doc = features(texts[a:b], len(table))
             sizes[a:b] = n = np.bincount(doc, minlength=b - a)
             scores[a:b] = np.bincount(doc, table[bucket], minlength=b - a) / np.maximum(n, 1)
-        return pd.DataFrame({"score": scores, "n_grams": sizes})
+        trim()
+        return pa.StructArray.from_arrays([pa.array(scores), pa.array(sizes)], ["score", "n_grams"])
 
     return score
 

@@ -51,7 +51,7 @@ SIZE_STEPS = 32
 GROUP = 16_384
 
 
-def feature_buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def feature_buckets(texts: lexical.Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word buckets of each text, and the text of each."""
     w = lexical.words(texts)
     b = (w.hashes() % np.uint64(buckets)).astype(np.int64)
@@ -64,7 +64,7 @@ def document_frequencies(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray
 
     def make():
         def step(columns):
-            rows = columns[0].to_pylist()
+            rows = columns[0]
             for a, b in lexical.chunks(rows):
                 step.total[:-1] += np.bincount(feature_buckets(rows[a:b], buckets)[0], minlength=buckets)
             step.total[-1] += len(rows)
@@ -88,7 +88,7 @@ def sign_table(weights: np.ndarray, seed: int = SEED) -> np.ndarray:
     return (np.unpackbits(raw, axis=1).astype(np.int16) * 2 - 1) * weights[:, None]
 
 
-def fingerprints_of(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints_of(texts: lexical.Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (rows of 4 words) and numbers of features; without features all is 0."""
     out, sizes = np.zeros((len(texts), BITS // 64), np.uint64), np.zeros(len(texts), np.int64)
     for a, b in lexical.chunks(texts, lexical.CHUNK_CHARS // 2):
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         table = sign_table(weights)
 
         def step(columns):
-            texts = columns[1].to_pylist()
+            texts = columns[1]
             fp, sizes = fingerprints_of(texts, table)
             has = np.flatnonzero((sizes > 0) & columns[0].is_valid().to_numpy(zero_copy_only=False))
             yield {"doc_id": columns[0].take(pa.array(has)), "fp": [r.tobytes() for r in fp[has]], "code": size_codes(sizes[has])}

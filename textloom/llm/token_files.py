@@ -115,9 +115,9 @@ class Encoder:
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: lexical.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, and how many each text has."""
-        texts = [t or "" for t in texts]
+        texts = [t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=bounds[1:])
         joined = "".join(texts)
@@ -186,7 +186,7 @@ def write(docs: DataFrame, folder: str, ranks: str = RANKS, end_id: int | None =
         done = {"docs": 0, "tokens": 0}
 
         def step(columns) -> Iterator[dict]:
-            doc_ids, texts = columns[0], columns[1].to_pylist()
+            doc_ids, texts = columns[0], columns[1]
             sizes = []
             for a, b in lexical.chunks(texts, 2 * lexical.CHUNK_CHARS):
                 ids, n = encoder.encode(texts[a:b])
