@@ -42,6 +42,12 @@ def zip_norm(t: Tables):
     return t.orders.where("o_custkey % 100000 > 0").select("o_orderkey", coerce.postal_code((F.col("o_custkey") % 100000).cast("string")).alias("zip"))
 
 
+@query()
+def zip_norm_all(t: Tables):
+    """The zip of every order, empty for a key of 0; zip_norm has the orders of its SQL only."""
+    return t.orders.select("o_orderkey", coerce.postal_code((F.col("o_custkey") % 100000).cast("string")).alias("zip"))
+
+
 @query("""
 SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(value AS BIGINT) AS cut, coalesce(try_cast(event_type AS DOUBLE), -1) AS none FROM (SELECT event_id, props, trunc(value) AS value, event_type FROM events)""")
 def tolerant_numbers(t: Tables):
