@@ -1,4 +1,4 @@
-"""Language-model scores: a Katz backoff bigram model counted over the whole corpus.
+"""Katz backoff bigrams over a vocabulary of fixed size; the registered query is katz_ngrams'.
 
 Words are hashed into a vocabulary of fixed size; id 0 stands before every
 text. Counts r from 1 to K_MAX get Katz's Good-Turing discount d_r, made from
@@ -35,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexical
@@ -317,7 +317,3 @@ def score(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id
 
     found = tokens.groupBy("list").cogroup(answers.groupBy("list")).applyInArrow(scored, SCORES)
     return found.select("doc_id", "n_tokens", F.round("log_prob", 3).alias("log_prob"), F.round(F.exp(-F.col("log_prob") / F.col("n_tokens")), 3).alias("perplexity"))
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import classifier, html_text, katz, licences, mixing, neighbours, packing, quality_rules, simhash, token_files
+from . import classifier, html_text, katz_ngrams, licences, mixing, neighbours, packing, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_quality_classifier": classifier.query,
     "op3_mix_sources": mixing.query,
     "op4_licence_scan": licences.query,
-    "op5_katz_scores": katz.query,
+    "op5_katz_scores": katz_ngrams.query,
     "op6_html_extraction": html_text.query,
     "op7_nearest_neighbours": neighbours.query,
     "op8_llr_quality_rules": quality_rules.query,
