@@ -134,3 +134,17 @@ def test_components_of_edges_that_change_between_evaluations(spark):
     star = spark.range(1, 200).select((F.floor(F.rand() * F.col("id"))).cast("bigint").alias("u"), F.col("id").alias("v"))
     got = S.components(star.select("u", "v"))
     assert got.count() == 200 and {r.root for r in got.select("root").distinct().collect()} == {0}
+
+
+def test_truncated_and_extended_copies_are_caught(spark, frame):
+    """Copies whose sizes differ by more than a fifth, and whose fingerprints are near all the same."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5000)]
+    rows = []
+    for i in range(40):
+        words = list(rng.choice(vocabulary, 100, replace=False))
+        more = list(rng.choice(vocabulary, 25, replace=False))
+        rows += [(i, " ".join(words)), (100 + i, " ".join(words + more)), (200 + i, " ".join(words[:78]))]
+    got = {r.doc_id: r.duplicate_of for r in S.groups_of(frame(rows)).collect()}
+    assert got == {k + i: i for i in range(40) for k in (100, 200)}
+    assert {r.doc_id: r.duplicate_of for r in S.groups_of(frame(rows), group=30).collect()} == got

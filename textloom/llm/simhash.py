@@ -2,23 +2,17 @@
 
 A document's features are its distinct words, weighted by inverse document
 frequency over all documents. Its fingerprint has 256 bits: the signs of the
-weighted sums of the words' seeded +-1 vectors. Beside it goes a size code, a
-logarithm of the number of features. Two documents are near duplicates if
-
-* their size codes differ by at most SIZE_RADIUS,
-* the first 64 bits of their fingerprints differ in at most LEAD_RADIUS bits,
-* and all 256 bits in at most RADIUS bits.
-
-Every such pair is found. The size code, written as a row of that many ones,
-makes the code's difference a Hamming distance as well; its root vantage point
-is the empty document. So the first level of the tree is shells of size codes
-as wide as the radius, and a shell's overlap is its neighbour. Large shells
-are cut into groups by hash, and every pair of groups that can hold a pair is
-a cell of its own, so no task depends on the size of a shell. In a cell a
-vantage-point tree splits both sides at the median distance from a vantage
-point; by the triangle inequality only points within the radius of the
-boundary can have partners beyond it, and just these are compared across it. A
-node is split only where that saves work.
+weighted sums of the words' seeded +-1 vectors. Two documents are near
+duplicates if their fingerprints differ in at most RADIUS bits; how long they
+are doesn't matter, so copies that were cut short or extended are found as far
+as RADIUS allows.
+
+Every such pair is found. Fingerprints are cut into groups by hash, and every
+pair of groups is a cell of its own, so no task depends on the number of
+documents. In a cell a vantage-point tree splits both sides at the median
+distance (of all bits) from a vantage point; by the triangle inequality only
+points within the radius of the boundary can have partners beyond it, and just
+these are compared across it. A node is split only where that saves work.
 
 Groups are the connected components of the pairs; a cell gives the edges of a
 spanning forest instead of all its pairs, so a group of many copies stays
@@ -44,9 +38,11 @@ from . import lexical
 from .frames import broadcast_checked, narrow, per_batch, place, positional, settled, summed_arrays
 
 BITS, BUCKETS, SEED = 256, 1 << 16, 11
-RADIUS, LEAD_RADIUS, SIZE_RADIUS = 64, 18, 6
+RADIUS = 64
 #: Steps of the size code for each factor e of size.
 SIZE_STEPS = 32
+#: What RADIUS implies for the first 64 bits and for size codes: they refuse no pair.
+LEAD_RADIUS, SIZE_RADIUS = RADIUS, SIZE_STEPS * 64
 #: Fingerprints of one side of a cell.
 GROUP = 16_384
 
@@ -106,7 +102,7 @@ def size_codes(sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (32 bytes) and code of all rows that have a doc_id and words."""
+    """doc_id and fp (32 bytes) of all rows that have a doc_id and words."""
     own = narrow(docs, doc_id=id_col, text=text_col)
     weights = bucket_weights(document_frequencies(own.select("text")))
 
@@ -117,36 +113,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = columns[1]
             fp, sizes = fingerprints_of(texts, table)
             has = np.flatnonzero((sizes > 0) & columns[0].is_valid().to_numpy(zero_copy_only=False))
-            yield {"doc_id": columns[0].take(pa.array(has)), "fp": [r.tobytes() for r in fp[has]], "code": size_codes(sizes[has])}
+            yield {"doc_id": columns[0].take(pa.array(has)), "fp": [r.tobytes() for r in fp[has]]}
 
         return step
 
-    return per_batch(own, make, "doc_id bigint, fp binary, code int")
+    return per_batch(own, make, "doc_id bigint, fp binary")
 
 
-class Points:
-    """Fingerprints with size codes."""
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits each row of a differs from each of b."""
+    d = np.bitwise_count(a[:, 0][:, None] ^ b[:, 0]).astype(np.uint16)
+    for k in range(1, a.shape[1]):
+        d += np.bitwise_count(a[:, k][:, None] ^ b[:, k])
+    return d
 
-    def __init__(self, fp: np.ndarray, code: np.ndarray):
-        self.fp, self.code, self.lead = fp, code, np.ascontiguousarray(fp[:, 0])
 
-    def near(self, i: np.ndarray, j: np.ndarray, radius: int, size_radius: int) -> np.ndarray:
-        """Which of the pairs i, j are near in size and in all bits."""
-        d = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(1)
-        return (d <= radius) & (np.abs(self.code[i] - self.code[j]) <= size_radius)
-
-
-def vantage_pairs(lead: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, least: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def vantage_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, least: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of places (i from left, j from right; each pair of left once if right is None) whose
-    leads differ in at most radius bits, by a vantage-point tree with exact triangle bounds."""
+    fingerprints (rows of words, or single words) differ in at most radius bits, by a vantage-point
+    tree with exact triangle bounds."""
     own = right is None
     other = left if own else right
     if not len(left) or not len(other):
         return
+    fp = fp.reshape(len(fp), -1)
     if len(left) * len(other) > least:
-        v = lead[left[len(left) // 2]]
-        dl = np.bitwise_count(lead[left] ^ v).astype(np.int16)
-        dr = dl if own else np.bitwise_count(lead[other] ^ v).astype(np.int16)
+        v = fp[left[len(left) // 2]]
+        dl = np.bitwise_count(fp[left] ^ v).sum(1, dtype=np.int16)
+        dr = dl if own else np.bitwise_count(fp[other] ^ v).sum(1, dtype=np.int16)
         middle = int(np.median(dl))
         ln, lf, rn, rf = left[dl <= middle], left[dl > middle], other[dr <= middle], other[dr > middle]
         # Partners beyond the boundary are within the radius of it, and so is the point itself.
@@ -155,16 +149,17 @@ def vantage_pairs(lead: np.ndarray, left: np.ndarray, right: np.ndarray | None,
             cross.append((left[(dl > middle) & (dl <= middle + radius)], other[(dr <= middle) & (dr > middle - radius)]))
         work = len(ln) * len(rn) + len(lf) * len(rf) + (1 + own) * sum(len(a) * len(b) for a, b in cross)
         if work < 0.85 * len(left) * len(other):
-            yield from vantage_pairs(lead, ln, None if own else rn, radius, least)
-            yield from vantage_pairs(lead, lf, None if own else rf, radius, least)
+            yield from vantage_pairs(fp, ln, None if own else rn, radius, least)
+            yield from vantage_pairs(fp, lf, None if own else rf, radius, least)
             for a, b in cross:
-                yield from vantage_pairs(lead, a, b, radius, least)
+                yield from vantage_pairs(fp, a, b, radius, least)
             return
+    across = np.asfortranarray(fp[other])
     for a in range(0, len(left), 64):
         begin = a + 1 if own else 0
-        for b in range(begin, len(other), 8192):
-            x, y = left[a : a + 64], other[b : b + 8192]
-            i, j = np.nonzero(np.bitwise_count(lead[x][:, None] ^ lead[y]) <= radius)
+        for b in range(begin, len(other), 2048):
+            x, y = left[a : a + 64], other[b : b + 2048]
+            i, j = np.nonzero(differences(fp[x], across[b : b + 2048]) <= radius)
             if own:
                 ahead = j + b > i + a
                 i, j = i[ahead], j[ahead]
@@ -188,9 +183,9 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def forest(points: Points, left: np.ndarray, right: np.ndarray | None, radius: int, lead_radius: int, size_radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of all near pairs."""
-    n, a, b, held = len(points.lead), [], [], 0
+    n, a, b, held = len(fp), [], [], 0
 
     def reduced():
         if not a:
@@ -199,58 +194,43 @@ def forest(points: Points, left: np.ndarray, right: np.ndarray | None, radius: i
         i = np.flatnonzero(r != np.arange(n))
         return i, r[i]
 
-    for i, j in vantage_pairs(points.lead, left, right, lead_radius):
-        ok = points.near(i, j, radius, size_radius)
-        if ok.any():
-            a.append(i[ok])
-            b.append(j[ok])
-            held += int(ok.sum())
+    for i, j in vantage_pairs(fp, left, right, radius):
+        a.append(i)
+        b.append(j)
+        held += len(i)
         if held > 2_000_000:
             x, y = reduced()
             a, b, held = [x], [y], 0
     return reduced()
 
 
-def near_edges(fps: DataFrame, radius: int = RADIUS, lead_radius: int = LEAD_RADIUS, size_radius: int = SIZE_RADIUS, group: int = GROUP) -> DataFrame:
-    """u, v: edges that connect all near pairs of fps (rep, fp, code; distinct fingerprints)."""
-    width = max(1, size_radius)
-    # At most as many rows as there are size codes, a few hundred.
-    groups = {r.shell: max(1, -(-r["count"] // group)) for r in fps.groupBy((F.col("code") / width).cast("int").alias("shell")).count().collect()}
+def near_edges(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """u, v: edges that connect all near pairs of fps (rep, fp; distinct fingerprints)."""
+    groups = max(1, -(-fps.count() // group))
 
     def make():
         def step(columns):
-            rep, fp, code = columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_numpy()
-            out = {"cell": [], "side": [], "rep": [], "fp": [], "code": []}
-            for r, f, c in zip(rep, fp, code.tolist(), strict=True):
-                shell = c // width
-                here = groups[shell]
-                i = int.from_bytes(f[24:], "little") % here
-                for j in range(here):
-                    add(out, (shell, min(i, j), shell, max(i, j)), int(j < i), r, f, c)
-                for other in (shell - 1, shell + 1):
-                    for j in range(groups.get(other, 0)):
-                        cell = (shell, i, other, j) if other > shell else (other, j, shell, i)
-                        add(out, cell, int(other < shell), r, f, c)
+            out = {"cell": [], "side": [], "rep": [], "fp": []}
+            for r, f in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
+                i = int.from_bytes(f[24:], "little") % groups
+                for j in range(groups):
+                    for name, value in zip(out, ("%d.%d" % (min(i, j), max(i, j)), int(j < i), r, f), strict=True):
+                        out[name].append(value)
             yield out
 
-        def add(out, cell, side, r, f, c):
-            for name, value in zip(out, ("%d.%d.%d.%d" % cell, side, r, f, c), strict=True):
-                out[name].append(value)
-
         return step
 
     def joined(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")  # the order of arrival doesn't matter
         rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
         fp = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(rep), -1)
-        a, i, b, j = table["cell"][0].as_py().split(".")
-        own = (a, i) == (b, j)
+        i, j = table["cell"][0].as_py().split(".")
         everything = np.arange(len(rep))
-        left, right = (everything, None) if own else (everything[side == 0], everything[side == 1])
-        x, y = forest(Points(fp, table["code"].to_numpy()), left, right, radius, lead_radius, size_radius)
+        left, right = (everything, None) if i == j else (everything[side == 0], everything[side == 1])
+        x, y = forest(fp, left, right, radius)
         return pa.table({"u": pa.array(rep[x], pa.int64()), "v": pa.array(rep[y], pa.int64())})
 
-    cells = per_batch(fps.select("rep", "fp", "code"), make, "cell string, side int, rep bigint, fp binary, code int")
+    cells = per_batch(fps.select("rep", "fp"), make, "cell string, side int, rep bigint, fp binary")
     return cells.groupBy("cell").applyInArrow(joined, "u bigint, v bigint")
 
 
@@ -272,14 +252,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, lead_radius: int = LEAD_RADIUS, size_radius: int = SIZE_RADIUS, group: int = GROUP) -> DataFrame:
+def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """doc_id and duplicate_of, the lowest doc_id of its group, for every document that isn't that itself."""
     rows = settled(fingerprints(docs, id_col, text_col))
-    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("code").alias("code")))
+    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # Documents of several texts tie their fingerprints together.
     tied = rows.join(distinct.select("fp", "rep"), "fp").groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     ties = tied.select(F.explode("reps").alias("u"), "v")
-    near = near_edges(distinct.groupBy("fp").agg(F.min("rep").alias("rep"), F.min("code").alias("code")), radius, lead_radius, size_radius, group)
+    near = near_edges(distinct, radius, group)
     roots_of = components(near.union(ties))
     own = rows.join(distinct.select("fp", "rep"), "fp").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = own.join(roots_of, own["rep"] == roots_of["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("duplicate_of"))
