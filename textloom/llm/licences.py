@@ -1,6 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a text. Tokens are the distinct ``[a-z0-9]+`` of the
+A block is a line of a text, or if paragraphs are asked for also one: a run of lines that all have
+tokens (so lines of comment marks alone end it). A paragraph is reported by its
+first line, for the templates that none of its lines matches alone. Tokens are the distinct ``[a-z0-9]+`` of the
 lower-cased block or template. A block matches a template if it holds at least
 the share threshold of the template's tokens; every such pair is found.
 
@@ -83,10 +85,21 @@ class Blocks:
         pairs = np.unique(line * len(known) + at[hit])
         #: Line and token of every distinct known token of a line.
         self.line, self.token = pairs // len(known), pairs % len(known)
+        some = np.zeros(len(line_ends), bool)
+        some[np.searchsorted(line_ends, starts)] = True
+        begins = some.copy()
+        begins[1:] &= ~some[:-1] | (self.line_doc[1:] != self.line_doc[:-1])
+        ends_here = some.copy()
+        ends_here[:-1] &= ~some[1:] | (self.line_doc[1:] != self.line_doc[:-1])
+        #: First and last line of every paragraph.
+        self.first_line, self.last_line = np.flatnonzero(begins), np.flatnonzero(ends_here)
+        pairs = np.unique((np.cumsum(begins)[self.line] - 1) * len(known) + self.token)
+        #: Paragraph and token of every distinct known token of a paragraph.
+        self.paragraph, self.paragraph_token = pairs // len(known), pairs % len(known)
         self.codes = codes
 
-    def text(self, line: int) -> str:
-        return self.codes[self.line_starts[line] : self.line_ends[line]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    def text(self, line: int, last: int | None = None) -> str:
+        return self.codes[self.line_starts[line] : self.line_ends[line if last is None else last]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def hashes_of(vocabulary: list[str]) -> np.ndarray:
@@ -154,8 +167,8 @@ def block_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]
 SCHEMA = "doc_id bigint, block int, template string, overlap int, containment double"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every block with every template it matches: doc_id, block (number of the line from 0), template,
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, paragraphs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every block with every template it matches: doc_id, block (number of its first line from 0), template,
     overlap (shared tokens) and containment (their share of the template's, rounded to 6 places)."""
     templates = {k: v for k, v in (TEMPLATES if templates is None else templates).items() if tokens(v)}
     own = narrow(docs, id=id_col, text=text_col)
@@ -164,20 +177,33 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     vocabulary = sorted({t for v in templates.values() for t in tokens(v)})
     index = Index(templates, block_frequencies(own.select("text"), vocabulary), threshold)
 
+    def candidates(block: np.ndarray, token: np.ndarray, n: int) -> list[int]:
+        """Blocks with enough known tokens and one that is in a prefix."""
+        prefix = index.in_prefix[index.order[token]]
+        return np.flatnonzero((np.bincount(block, minlength=n) >= index.least) & (np.bincount(block, prefix, minlength=n) > 0)).tolist()
+
     def make():
         def step(columns):
             ids, rows = columns[0].to_pylist(), columns[1]
             out = {"doc_id": [], "block": [], "template": [], "overlap": [], "containment": []}
             for a, b in lexical.chunks(rows):
                 blocks = Blocks(rows[a:b], index.known)
-                rank = index.order[blocks.token]
-                n = len(blocks.line_ends)
-                may = (np.bincount(blocks.line, minlength=n) >= index.least) & (np.bincount(blocks.line, index.in_prefix[rank], minlength=n) > 0)
-                for line in np.flatnonzero(may):
-                    held = sorted(r for r in (index.rank.get(t) for t in tokens(blocks.text(line))) if r is not None)
+                found = set()
+
+                def add(line: int, last: int, a=a, blocks=blocks, found=found):
+                    held = sorted(r for r in (index.rank.get(t) for t in tokens(blocks.text(line, last))) if r is not None)
                     for k, overlap in index.matches(held):
+                        if last > line and any((x, k) in found for x in range(line, last + 1)):
+                            continue
+                        found.add((line, k))
                         for name, value in zip(out, (ids[a + blocks.line_doc[line]], int(blocks.line_no[line]), index.names[k], overlap, round(overlap / len(index.ordered[k]), 6)), strict=True):
                             out[name].append(value)
+
+                for line in candidates(blocks.line, blocks.token, len(blocks.line_ends)):
+                    add(line, line)
+                for p in candidates(blocks.paragraph, blocks.paragraph_token, len(blocks.first_line)) if paragraphs else ():
+                    if blocks.last_line[p] > blocks.first_line[p]:
+                        add(int(blocks.first_line[p]), int(blocks.last_line[p]))
             yield out
 
         return step
@@ -189,6 +215,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def query_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and paragraphs; query has the lines of its SQL only."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), paragraphs=True)
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_llr_quality_rules": quality_rules.query,
     "op9_retrieval_packing": packing.query,
     "op10_token_files": token_files.query,
+    "op4_licence_paragraphs": licences.query_paragraphs,
 }
 
 ORACLE_SQL = {
