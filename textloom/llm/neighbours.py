@@ -96,8 +96,11 @@ class Sorted:
                 new = new[self.ids[new] != own]
                 rough = self.squares[new] - 2 * (self.x[new] @ q.astype(np.float32))
                 if len(new) > 4 * k:  # the exact distance of all that may be among the best
-                    bound = np.partition(rough, 4 * k - 1)[4 * k - 1]
-                    new = new[rough <= bound + 1e-5 * (abs(bound) + square)]
+                    by = np.argsort(rough, kind="stable")
+                    _, first = np.unique(self.ids[new[by]], return_index=True)
+                    if len(first) > 4 * k:  # an id of many rows counts once
+                        bound = rough[by[np.sort(first)[4 * k - 1]]]
+                        new = new[rough <= bound + 1e-5 * (abs(bound) + square)]
                 d = np.sqrt(((self.x[new] - q) ** 2).sum(1))
                 places, distances = np.concatenate([places, new]), np.concatenate([distances, d])
                 best = np.lexsort((self.ids[places], distances))
