@@ -51,6 +51,35 @@ def test_awkward_rows(spark):
     assert got == [(1, 1, 7), (1, 2, 8), (7, 1, 1), (7, 2, 8), (8, 1, 1), (8, 2, 7)]
 
 
+def test_the_query_asks_for_every_fiftieth_against_all(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(700, 16))
+    table(spark, x).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = N.query(spark, str(tmp_path)).collect()
+    want, far = brute(x, N.K)
+    assert {r.vec_id for r in got} == set(range(0, 700, N.ASKED)) and len(got) == 14 * N.K
+    assert np.mean([r.neighbour_id in want[r.vec_id] for r in got]) >= 0.9
+    assert all(abs(r.distance - far[r.vec_id][want[r.vec_id].tolist().index(r.neighbour_id)]) < 1e-5 for r in got if r.neighbour_id in want[r.vec_id])
+
+
+def test_rows_of_one_id_with_other_vectors(spark):
+    """Many vectors under one id push no other id out."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 8)) * 1e-3, rng.normal(size=(12, 8))])
+    got = N.nearest(table(spark, x, [1] * 400 + list(range(2, 14)))).collect()
+    count = {i: sum(r.vec_id == i for r in got) for i in range(1, 14)}
+    assert set(count.values()) == {N.K}
+    assert len({(r.vec_id, r.neighbour_id) for r in got}) == len(got)
+
+
+def test_values_beyond_single_precision_are_left_out(spark):
+    x = [[0.0, 1.0], [1.0, 1.0], [float("inf"), 0.0], [-2e18, 0.0]]
+    assert {(r.vec_id, r.neighbour_id) for r in N.nearest(table(spark, x)).collect()} == {(0, 1), (1, 0)}
+
+
+def test_no_queries(spark):
+    assert N.nearest(table(spark, [[0.0], [1.0]]), asked=lambda i: i > 5).count() == 0
+
+
 def test_empty_table(spark):
     assert N.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert N.nearest(spark.createDataFrame([(1, [1.0], 0)], SCHEMA)).count() == 0

@@ -53,12 +53,31 @@ def test_files_round_trip(spark, clashing, awkward, encoder, tmp_path, end_id):
         files[len(rows)]
 
 
-def test_leftovers_of_lost_tasks_go(spark, frame, tmp_path):
+def test_foreign_files_stay(spark, frame, tmp_path):
+    """A folder that holds a table of Spark's and another call's tokens keeps both."""
+    folder = tmp_path / "tokens"
+    spark.range(50).repartition(3).write.parquet(f"file://{folder}")
+    T.write(frame([(1, "a b"), (2, "c")]), f"file://{folder}")
+    first = {p["file"] for p in T.TokenFiles(str(folder)).parts}
+    before = {f.name for f in folder.iterdir()}
+    T.write(frame([(3, "d e f")]), f"file://{folder}")
+    names = {f.name for f in folder.iterdir()}
+    assert before - {"parts.parquet"} <= names
+    files = T.TokenFiles(str(folder))
+    assert len(files) == 1 and not first & {p["file"] for p in files.parts}
+    (folder / "parts.parquet").unlink()
+    assert spark.read.parquet(*[str(f) for f in folder.glob("*.snappy.parquet")]).count() == 50
+
+
+def test_leftovers_of_the_calls_own_attempts_go(spark, frame, tmp_path, monkeypatch):
     folder = tmp_path / "tokens"
     folder.mkdir()
-    (folder / "part-000000-lost.bin").write_bytes(b"1234")
+    mark = "ab" * 16
+    monkeypatch.setattr(T.uuid, "uuid4", lambda: type("U", (), {"hex": mark})())
+    lost = folder / f"part-{mark}-000000-lost.bin"
+    lost.write_bytes(b"1234")
     T.write(frame([(1, "a b")]), f"file://{folder}")
-    assert not (folder / "part-000000-lost.bin").exists()
+    assert not lost.exists() and len(T.TokenFiles(str(folder))) == 1
 
 
 def test_empty_table(spark, frame, tmp_path):

@@ -12,29 +12,37 @@ the radius h / Z cross the threshold with a chance of about CONFIDENCE each; a
 query stops when its k-th verified distance is within that radius, or its
 windows hold everything. There is no limit to how many vectors are verified.
 
-Every row is a query; it meets every shard, and the shards' best are merged.
-
-Cases: rows with a null id, and vectors that are null, empty, hold null or NaN,
-or haven't the dimension that most vectors have (the lowest at a tie), are left
-out. Rows of one id aren't each other's neighbours; repeated rows count once.
-Equal distances go by id. With fewer than k other ids, all are returned. An
-empty table gives no rows.
+The queries are the rows that a condition on the id names (all rows without
+one). Each meets every shard, in blocks, and the shards' best are merged, so the
+work is the number of queries times the number of vectors.
+
+Cases: rows with a null id, and vectors that are null, empty, hold null, NaN,
+an infinity or a value of LARGEST or more (whose squares single precision can't
+hold), or haven't the dimension that most vectors have (the lowest at a tie),
+are left out. Rows of one id aren't each other's neighbours; repeated rows count
+once, and rows of one id with other vectors as the nearest of them. Equal
+distances go by id. With fewer than k other ids, all are returned. An empty
+table, and one without queries, gives no rows. Extra columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import narrow, per_batch, settled
 
 K, PROJECTIONS, ALPHA, CONFIDENCE, SEED = 10, 32, 0.5, 0.93, 3
 SHARD, QUERIES = 16_384, 8_192
-GROWTH = 1.25
+GROWTH, LARGEST = 1.25, 1e18
+#: The registered query asks for the rows whose id this divides.
+ASKED = 50
 SCHEMA = "vec_id bigint, neighbour_id bigint, distance double"
 
 
@@ -117,7 +125,7 @@ class Sorted:
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """id and packed (float32 bytes) of the vectors that take part, and their dimension (0: none)."""
     own = narrow(table, id=id_col, v=vector_col).select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<float>").alias("v"))
-    fit = own.where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e18)")
+    fit = own.where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < %r)" % LARGEST)
     top = fit.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = top.d if top else 0
 
@@ -131,19 +139,19 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataF
     return per_batch(fit.where(F.size("v") == d), make, "id bigint, packed binary") if d else fit.select("id", F.lit(b"").alias("packed")).limit(0), d
 
 
-def nearest(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = PROJECTIONS, alpha: float = ALPHA, confidence: float = CONFIDENCE, seed: int = SEED, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
-    """vec_id, rank (1 to k), neighbour_id and Euclidean distance (6 places) for every vector."""
+def nearest(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = PROJECTIONS, alpha: float = ALPHA, confidence: float = CONFIDENCE, seed: int = SEED, shard: int = SHARD, queries: int = QUERIES, asked: Callable[[Column], Column] | None = None) -> DataFrame:
+    """vec_id, rank (1 to k), neighbour_id and Euclidean distance (6 places) for every vector whose id fits asked."""
     fit, d = valid_vectors(table, id_col, vector_col)
     if not d:
         return table.sparkSession.createDataFrame([], "vec_id bigint, rank int, neighbour_id bigint, distance double")
     rows = settled(fit.distinct())
-    n = rows.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n // queries))
+    wanted = rows if asked is None else rows.where(asked(F.col("id")))
+    shards, blocks = max(1, -(-rows.count() // shard)), max(1, -(-wanted.count() // queries))
     place = F.xxhash64("id", "packed")
     # Each vector goes to its shard once for each block of queries, and as a query to each shard.
     here, block = F.pmod(place, F.lit(shards)), F.pmod(F.shiftright(place, 20), F.lit(blocks))
     data = rows.select(here.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), "id", "packed")
-    asked = rows.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), block.cast("int").alias("block"), F.lit(1).alias("side"), "id", "packed")
+    asking = wanted.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), block.cast("int").alias("block"), F.lit(1).alias("side"), "id", "packed")
 
     def searched(cell: pa.Table) -> pa.Table:
         # Sorted, as where the first windows start depends on a few rows: the result is the same each time.
@@ -160,11 +168,11 @@ def nearest(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: st
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pa.table({"vec_id": join(owner, np.int64), "neighbour_id": join(near, np.int64), "distance": join(distance, np.float64)})
 
-    found = data.union(asked).groupBy("shard", "block").applyInArrow(searched, SCHEMA)
+    found = data.union(asking).groupBy("shard", "block").applyInArrow(searched, SCHEMA)
     once = found.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")))
     return ranked.where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), asked=lambda i: i % ASKED == 0)

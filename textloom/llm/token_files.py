@@ -13,10 +13,16 @@ as long as it stays in the cache. Whether a document's tokens have as many
 bytes as its text is checked, and where not it is encoded again on its own.
 
 Cases: null and empty texts are documents of no tokens but the end mark (none
-if end_id is None). Repeated rows are repeated documents. Without rows there
-are no files but an empty list of parts. A task that runs again writes a file
-of another name; only those of the attempt that succeeded are listed, the rest
-removed.
+if end_id is None). Very long texts are encoded whole. Repeated rows, and rows
+of one doc_id, are documents each; null doc_ids stay. Ties don't occur. Without
+rows there are no files but an empty list of parts. Extra columns, whatever
+their names, play no part.
+
+All files of a call have names that begin with the call's own mark. A task that
+runs again writes a file of another name; only those of the attempt that
+succeeded are listed, and the call's others are removed. Files of other calls,
+and anything else in the folder, are left alone; the list of parts is that of
+the call that ended last.
 """
 
 from __future__ import annotations
@@ -173,12 +179,13 @@ def write(docs: DataFrame, folder: str, ranks: str = RANKS, end_id: int | None =
     tokens of all parts), n_tokens (with the end mark)."""
     wide = max(_vocabulary(ranks), (end_id or 0) + 1) > 1 << 16
     kind = np.uint32 if wide else np.uint16
+    mark = f"part-{uuid.uuid4().hex}-"
 
     def make():
         encoder = Encoder(ranks)
         task = TaskContext.get()
         part = task.partitionId() if task else 0
-        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        name = f"{mark}{part:06d}-{uuid.uuid4().hex[:12]}"
         fs, at = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(at, recursive=True)
         ids_file, offsets_file = fs.open_output_stream(f"{at}/{name}.bin"), fs.open_output_stream(f"{at}/{name}.idx")
@@ -221,7 +228,7 @@ def write(docs: DataFrame, folder: str, ranks: str = RANKS, end_id: int | None =
     fs.create_dir(at, recursive=True)
     listed = set(parts["file"])
     for f in fs.get_file_info(pa.fs.FileSelector(at)):
-        if f.base_name.startswith("part-") and f.base_name.rsplit(".", 1)[0] not in listed:
+        if f.base_name.startswith(mark) and f.base_name.rsplit(".", 1)[0] not in listed:
             fs.delete_file(f.path)
     table = pa.table({"part": pa.array(parts["part"], pa.int32()), "file": pa.array(parts["file"], pa.string())} | {c: pa.array(parts[c], pa.int64()) for c in ("n_tokens", "n_docs", "base_token", "base_doc")})
     pq.write_table(table.replace_schema_metadata({"dtype": np.dtype(kind).name, "end_id": str(end_id)}), f"{at}/parts.parquet", filesystem=fs)
