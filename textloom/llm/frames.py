@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored_row(folder: str, column: str, value: int) -> dict:
+    """The one row of a partition (column = value) of a table in a folder that all executors share."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    return pq.read_table(f"{path}/{column}={value}", filesystem=fs, partitioning=None).to_pylist()[0]
+
+
 def trim() -> None:
     """Give memory that this worker no longer uses back to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
