@@ -16,6 +16,7 @@ QUERIES = {
     "op9_retrieval_packing": packing.query,
     "op10_token_files": token_files.query,
     "op4_licence_paragraphs": licences.query_paragraphs,
+    "op5_katz_conversations": katz_ngrams.query_conversations,
 }
 
 ORACLE_SQL = {
