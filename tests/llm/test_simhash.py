@@ -53,7 +53,6 @@ def brute(rows):
     df[-1] = len(rows)
     table = S.sign_table(S.bucket_weights(df))
     fp, sizes = S.fingerprints_of(texts, table)
-    codes = S.size_codes(sizes)
     parent = {i: i for i in ids}
 
     def find(x):
@@ -63,7 +62,7 @@ def brute(rows):
 
     for a in range(len(ids)):
         for b in range(a):
-            if sizes[a] and sizes[b] and (ids[a] == ids[b] or (abs(codes[a] - codes[b]) <= S.SIZE_RADIUS and np.bitwise_count(fp[a, 0] ^ fp[b, 0]) <= S.LEAD_RADIUS and np.bitwise_count(fp[a] ^ fp[b]).sum() <= S.RADIUS)):
+            if sizes[a] and sizes[b] and (ids[a] == ids[b] or np.bitwise_count(fp[a] ^ fp[b]).sum() <= S.RADIUS):
                 x, y = sorted((find(ids[a]), find(ids[b])))
                 parent[y] = x
     return {i: find(i) for i in ids if find(i) != i}
@@ -92,6 +91,33 @@ def test_groups_are_those_of_brute_force(spark, frame):
     assert {r.doc_id: r.duplicate_of for r in S.groups_of(frame(rows), group=20).collect()} == got
 
 
+@pytest.mark.parametrize("group", [10_000, 25])
+def test_links_are_counted_over_all_cells(spark, frame, group):
+    rows = corpus(60, 4)
+    df = np.zeros(S.BUCKETS + 1, np.int64)
+    for _, t in rows:
+        df[:-1] += np.bincount(S.feature_buckets([t], S.BUCKETS)[0], minlength=S.BUCKETS)
+    df[-1] = len(rows)
+    fp, _ = S.fingerprints_of([t for _, t in rows], S.sign_table(S.bucket_weights(df)))
+    distinct = np.unique(fp, axis=0)
+    for r in S.groups_of(frame(rows), group=group).collect():
+        own = fp[[i for i, _ in rows].index(r.doc_id)]
+        assert r.n_links == (np.bitwise_count(distinct ^ own).sum(1) <= S.RADIUS).sum() - 1
+
+
+@pytest.mark.parametrize("rows,columns", [(1, 1), (70, 2100), (33, 1024)])
+def test_blocks_find_all_pairs_of_wide_fingerprints(rows, columns):
+    rng = np.random.default_rng(rows)
+    a, b = rng.integers(0, 1 << 63, (rows, 4), dtype=np.uint64), rng.integers(0, 1 << 63, (columns, 4), dtype=np.uint64)
+    b[: columns // 2] = a[rng.integers(0, rows, columns // 2)]
+    for k in range(columns // 2):  # k bits differ
+        b[k] ^= np.packbits(np.isin(np.arange(256), rng.choice(256, k % 130, replace=False))).view(np.uint64)
+    fp = np.concatenate([a, b])
+    got = {(x, y) for i, j in S.vantage_pairs(fp, np.arange(rows), np.arange(rows, rows + columns), 64) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+    d = np.bitwise_count(a[:, None] ^ b).sum(2)
+    assert got == {(i, j + rows) for i, j in zip(*(x.tolist() for x in np.nonzero(d <= 64)), strict=True)}
+
+
 def test_near_copies_are_caught_and_others_left_alone(spark, frame):
     rng = np.random.default_rng(3)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5000)]

@@ -16,9 +16,13 @@ these are compared across it. A node is split only where that saves work.
 
 Groups are the connected components of the pairs; a cell gives the edges of a
 spanning forest instead of all its pairs, so a group of many copies stays
-linear. The lowest doc_id of a group stays.
+linear. The lowest doc_id of a group stays. How many others a fingerprint is
+near to is counted over all cells.
 
-Cases: texts that are null or have no words are never duplicates. Rows with a
+Cases: texts that are null or have no words are never duplicates. Very long
+texts count whole, by their distinct words. Fingerprints of equal distance all
+count, so ties don't occur. Extra columns, whatever their names, play no part;
+keep_documents returns them as they are. Rows with a
 null doc_id can't be named in a result: they have no duplicates, and all stay.
 Rows that share a doc_id count as one document: texts with one id are in one
 group, and one of the rows stays (the one with the least text). Documents with
@@ -39,12 +43,8 @@ from .frames import broadcast_checked, narrow, per_batch, place, positional, set
 
 BITS, BUCKETS, SEED = 256, 1 << 16, 11
 RADIUS = 64
-#: Steps of the size code for each factor e of size.
-SIZE_STEPS = 32
-#: What RADIUS implies for the first 64 bits and for size codes: they refuse no pair.
-LEAD_RADIUS, SIZE_RADIUS = RADIUS, SIZE_STEPS * 64
 #: Fingerprints of one side of a cell.
-GROUP = 16_384
+GROUP = 32_768
 
 
 def feature_buckets(texts: lexical.Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +97,6 @@ def fingerprints_of(texts: lexical.Texts, table: np.ndarray) -> tuple[np.ndarray
     return out, sizes
 
 
-def size_codes(sizes: np.ndarray) -> np.ndarray:
-    return np.round(SIZE_STEPS * np.log1p(sizes)).astype(np.int32)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (32 bytes) of all rows that have a doc_id and words."""
     own = narrow(docs, doc_id=id_col, text=text_col)
@@ -120,12 +116,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_batch(own, make, "doc_id bigint, fp binary")
 
 
-def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many bits each row of a differs from each of b."""
-    d = np.bitwise_count(a[:, 0][:, None] ^ b[:, 0]).astype(np.uint16)
-    for k in range(1, a.shape[1]):
-        d += np.bitwise_count(a[:, k][:, None] ^ b[:, k])
-    return d
+class Near:
+    """Which rows of a and b (fingerprints, a word a column) differ in at most radius bits, in blocks."""
+
+    ROWS, COLUMNS = 32, 1024
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, radius: int):
+        self.a, self.b, self.radius = [np.ascontiguousarray(c) for c in a.T], [np.ascontiguousarray(c) for c in b.T], radius
+        self.both = np.empty(self.ROWS * self.COLUMNS, np.uint64)
+
+    def pairs(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows i, i + 1, ... of a and j, j + 1, ... of b, at most a block."""
+        x, y = [c[i : i + self.ROWS, None] for c in self.a], [c[j : j + self.COLUMNS] for c in self.b]
+        both = self.both[: len(x[0]) * len(y[0])].reshape(len(x[0]), -1)
+        d = None
+        for p, q in zip(x[: max(1, len(x) - 1)], y, strict=False):  # 192 bits fit a byte
+            np.bitwise_xor(p, q, out=both)
+            d = np.bitwise_count(both) if d is None else np.add(d, np.bitwise_count(both), out=d)
+        at = np.flatnonzero(d <= self.radius)
+        u, v = at // len(y[0]), at % len(y[0])
+        if len(at) and len(x) > 1:  # what is left of the bits decides for these few
+            near = d.ravel()[at] + np.bitwise_count(x[-1][u, 0] ^ y[-1][v]).astype(np.int64) <= self.radius
+            u, v = u[near], v[near]
+        return u + i, v + j
 
 
 def vantage_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, least: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,17 +167,15 @@ def vantage_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, ra
             for a, b in cross:
                 yield from vantage_pairs(fp, a, b, radius, least)
             return
-    across = np.asfortranarray(fp[other])
-    for a in range(0, len(left), 64):
-        begin = a + 1 if own else 0
-        for b in range(begin, len(other), 2048):
-            x, y = left[a : a + 64], other[b : b + 2048]
-            i, j = np.nonzero(differences(fp[x], across[b : b + 2048]) <= radius)
+    near = Near(fp[left], fp[other], radius)
+    for a in range(0, len(left), near.ROWS):
+        for b in range(a // near.COLUMNS * near.COLUMNS if own else 0, len(other), near.COLUMNS):
+            i, j = near.pairs(a, b)
             if own:
-                ahead = j + b > i + a
+                ahead = j > i
                 i, j = i[ahead], j[ahead]
             if len(i):
-                yield x[i], y[j]
+                yield left[i], other[j]
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,9 +194,10 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all near pairs."""
+def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all near pairs, and in how many pairs each place is."""
     n, a, b, held = len(fp), [], [], 0
+    links = np.zeros(n, np.int64)
 
     def reduced():
         if not a:
@@ -198,25 +210,26 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: i
         a.append(i)
         b.append(j)
         held += len(i)
+        np.add.at(links, i, 1)
+        np.add.at(links, j, 1)
         if held > 2_000_000:
             x, y = reduced()
             a, b, held = [x], [y], 0
-    return reduced()
+    return *reduced(), links
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """u, v: edges that connect all near pairs of fps (rep, fp; distinct fingerprints)."""
+    """Of fps (rep, fp; distinct fingerprints): rows u, v of edges that connect all near pairs, and
+    rows u, links of how many near pairs of a cell u is in."""
     groups = max(1, -(-fps.count() // group))
 
     def make():
         def step(columns):
-            out = {"cell": [], "side": [], "rep": [], "fp": []}
-            for r, f in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
-                i = int.from_bytes(f[24:], "little") % groups
-                for j in range(groups):
-                    for name, value in zip(out, ("%d.%d" % (min(i, j), max(i, j)), int(j < i), r, f), strict=True):
-                        out[name].append(value)
-            yield out
+            n = len(columns[0])
+            fp = np.frombuffer(b"".join(columns[1].to_pylist()), np.uint64).reshape(n, -1)
+            at, i, j = np.repeat(np.arange(n), groups), np.repeat((fp[:, -1] % np.uint64(groups)).astype(np.int64), groups), np.tile(np.arange(groups), n)
+            take = pa.array(at)
+            yield {"cell": np.minimum(i, j) * groups + np.maximum(i, j), "side": (j < i).astype(np.int32), "rep": columns[0].take(take), "fp": columns[1].take(take)}
 
         return step
 
@@ -224,14 +237,16 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
         table = table.sort_by("rep")  # the order of arrival doesn't matter
         rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
         fp = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(rep), -1)
-        i, j = table["cell"][0].as_py().split(".")
+        i, j = divmod(table["cell"][0].as_py(), groups)
         everything = np.arange(len(rep))
         left, right = (everything, None) if i == j else (everything[side == 0], everything[side == 1])
-        x, y = forest(fp, left, right, radius)
-        return pa.table({"u": pa.array(rep[x], pa.int64()), "v": pa.array(rep[y], pa.int64())})
+        x, y, links = forest(fp, left, right, radius)
+        some = np.flatnonzero(links)
+        none = np.zeros(len(some), bool)
+        return pa.table({"u": np.concatenate([rep[x], rep[some]]).astype(np.int64), "v": pa.array(np.concatenate([rep[y], rep[some]]).astype(np.int64), mask=np.concatenate([np.zeros(len(y), bool), ~none])), "links": np.concatenate([np.zeros(len(x), np.int64), links[some]])})
 
-    cells = per_batch(fps.select("rep", "fp"), make, "cell string, side int, rep bigint, fp binary")
-    return cells.groupBy("cell").applyInArrow(joined, "u bigint, v bigint")
+    cells = per_batch(fps.select("rep", "fp"), make, "cell bigint, side int, rep bigint, fp binary")
+    return cells.groupBy("cell").applyInArrow(joined, "u bigint, v bigint, links bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,16 +268,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """doc_id and duplicate_of, the lowest doc_id of its group, for every document that isn't that itself."""
+    """doc_id, duplicate_of (its class: the lowest doc_id of its group) and n_links (how many other fingerprints are
+    near its own; of several texts the most) for every document that isn't the lowest of its group itself."""
     rows = settled(fingerprints(docs, id_col, text_col))
     distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # Documents of several texts tie their fingerprints together.
     tied = rows.join(distinct.select("fp", "rep"), "fp").groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     ties = tied.select(F.explode("reps").alias("u"), "v")
-    near = near_edges(distinct, radius, group)
-    roots_of = components(near.union(ties))
-    own = rows.join(distinct.select("fp", "rep"), "fp").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    found = own.join(roots_of, own["rep"] == roots_of["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("duplicate_of"))
+    near = settled(near_edges(distinct, radius, group))
+    roots_of = components(near.where("v is not null").select("u", "v").union(ties))
+    links = near.groupBy(F.col("u").alias("linked")).agg(F.sum("links").alias("n_links"))
+    of_text = rows.join(distinct.select("fp", "rep"), "fp").join(links, F.col("rep") == links["linked"], "left")
+    own = of_text.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
+    found = own.join(roots_of, own["rep"] == roots_of["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("duplicate_of"), "n_links")
     return found.where("doc_id <> duplicate_of")
 
 
