@@ -134,7 +134,35 @@ def test_fuzzy(spark):
     vocab = {r.head: r.synonyms for r in joins.reduced_vocabulary(words, "w", 0.75).collect()}
     assert vocab["xyz"] == [] and vocab["money"] == ["honey"] and vocab["ones"] == ["one"]
     assert sorted([*vocab, *(s for v in vocab.values() for s in v)]) == sorted(w for w in ("honey", "money", "phone", "ones", "one", "xyz"))
-    assert spark.range(1).select(joins.synonyms(F.lit(" Big ")).alias("s")).first().s == ["large", "huge"]
+    assert spark.range(1).select(joins.synonyms(F.lit(" Date ")).alias("s")).first().s == ["datetime", "time", "date_time"]
+    assert [r.s for r in spark.createDataFrame([("c++",), (":-P",), ("cat",)], "w string").select(joins.spelled(F.col("w")).alias("s")).collect()] == ["C-Plus-Plus", "tongue-out-smile", "cat"]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.75, 0.85])
+def test_no_fuzzy_pair_is_lost(spark, least):
+    import random
+
+    r = random.Random(int(least * 100))
+    words = sorted({"".join(r.choice("abx") for _ in range(r.randrange(1, 9))) for _ in range(150)} | {"abcd", "bad", "xbyd", "an", "on"})
+    t = spark.createDataFrame([(w,) for w in words], "w string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a, b) for a in words for b in words if 1 - edits(a, b) / max(len(a), len(b)) >= least}
+    assert {(p.key, p.other) for p in joins.fuzzy_pairs(t, t, "w", "w", least).collect()} == want
+
+
+def test_fuzzy_values(spark):
+    t = spark.createDataFrame([("seller", 2), ("sailor", 5), ("camera", 7)], "k string, v int")
+    q = spark.createDataFrame([("sailer",), ("1",), ("-1",), ("zzz",)], "q string")
+    got = dict(rows(joins.fuzzy_value(q, t, "q", "k", "v").select("query", "value")))
+    assert got == {"sailer": 5, "1": 5, "-1": 2, "zzz": None}
 
 
 def test_division(spark):

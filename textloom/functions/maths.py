@@ -14,9 +14,9 @@ def safe_div(a: Column, b: Column, infinite: float | None = math.inf) -> Column:
 
 
 def round_significant(x: Column, digits: int = 3) -> Column:
-    """Rounded to significant digits; with none, the value as it is."""
+    """Rounded to significant digits; with none or fewer, the next power of ten above, times ten for each digit less."""
     if digits <= 0:
-        return x
+        return F.when((x == 0) | x.isNull() | F.isnan(x.cast("double")), x.cast("double")).otherwise(power_of_ten_above(x) * F.lit(10.0 ** -digits) * F.signum(x))
     e = F.floor(F.log10(F.abs(x)))
     return F.when((x == 0) | x.isNull() | F.isnan(x.cast("double")), x.cast("double")).otherwise(F.round(x / F.pow(F.lit(10.0), e - (digits - 1)), 0) * F.pow(F.lit(10.0), e - (digits - 1)))
 

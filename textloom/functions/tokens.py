@@ -69,6 +69,17 @@ def ngrams(items: Column, n: int = 2, separator: str | None = " ") -> Column:
     return _runs(items, F.size, n, lambda v, i: F.concat_ws(separator, *[F.get(v, i + (k - 1)) for k in range(n)]) if n <= 4 else F.array_join(F.slice(v, i, F.lit(n)), separator), "string")
 
 
+def ngram_structs(items: Column, n: int = 2) -> Column:
+    """Runs of n tokens as structs w1 .. wn: cheaper to group and join than strings."""
+
+    def zipped(v: Column) -> Column:
+        size = F.greatest(F.size(v) - (n - 1), F.lit(0))
+        return F.arrays_zip(*[F.slice(v, k, size).alias(f"w{k}") for k in range(1, n + 1)])
+
+    kind = ", ".join(f"w{k}: string" for k in range(1, n + 1))
+    return F.when(F.size(items) >= n, zipped(items)).otherwise(F.expr("array()")).cast(f"array<struct<{kind}>>")
+
+
 def ngram_range(items: Column, most: int, least: int = 1, separator: str = " ") -> Column:
     """All n-grams of n from least to most, the shortest first."""
     return let(items, lambda v: F.flatten(F.array(*[ngrams(v, n, separator) for n in range(least, most + 1)])))

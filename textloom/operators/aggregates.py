@@ -31,7 +31,9 @@ def integer_histogram(table: DataFrame, value: str, fillers: tuple = (), normali
         bounds = bounds.withColumn("a", F.greatest("a", F.lit(low).cast("bigint")))
     if high is not None:
         bounds = bounds.withColumn("b", F.least("b", F.lit(high).cast("bigint")))
-    grid = bounds.where("a <= b").select(F.explode(F.sequence("a", "b")).alias("bin"), "total")
+    # The range is made in steps, so that no row holds all of it.
+    steps = bounds.where("a <= b").select("b", "total", F.explode(F.sequence("a", "b", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.sqrt((F.col("b") - F.col("a")).cast("double"))).cast("bigint")))).alias("s"), F.greatest(F.lit(1).cast("bigint"), F.ceil(F.sqrt((F.col("b") - F.col("a")).cast("double"))).cast("bigint")).alias("step"))
+    grid = steps.repartition("s").select(F.explode(F.sequence("s", F.least(F.col("s") + F.col("step") - 1, F.col("b")))).alias("bin"), "total")
     out = grid.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "total")
     if normalize:
         out = out.withColumn("n", F.col("n") / F.col("total"))
@@ -107,12 +109,26 @@ def correlation_graph_json(table: DataFrame, columns: list[str], threshold: floa
     return links.select(F.to_json(F.struct(F.array(*[F.struct(F.lit(c).alias("name")) for c in columns]).alias("nodes"), "links")).alias("json"))
 
 
+#: Distinct tokens whose frequencies are broadcast at most (some 60 bytes each).
+BROADCAST_TOKENS = 2_000_000
+
+
 def term_scores(tokens: DataFrame, doc: str, token: str) -> DataFrame:
-    """tf-idf: doc, token, tf, df and tfidf = tf ln(N / df) of rows of tokens."""
+    """tf-idf: doc, token, tf, df and tfidf = tf ln(N / df) of rows of tokens.
+
+    Document frequencies are broadcast if there are few enough tokens; beyond that a token's rows are salted by document,
+    so that a frequent token isn't in one task."""
+    from ..sources.folders import settled
+
     tf = tokens.groupBy(F.col(doc).alias("doc"), F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = tf.agg(F.countDistinct("doc").alias("n"))
-    return tf.join(df, "token").crossJoin(F.broadcast(n)).select("doc", "token", "tf", "df", (F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("tfidf"))
+    df = settled(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    n = tokens.agg(F.countDistinct(doc).alias("n"))
+    if df.count() <= BROADCAST_TOKENS:
+        both = tf.join(F.broadcast(df), "token")
+    else:
+        salt = F.pmod(F.xxhash64("doc"), F.lit(16))
+        both = tf.withColumn("salt", salt).join(df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>"))), ["token", "salt"])
+    return both.crossJoin(F.broadcast(n)).select("doc", "token", "tf", "df", (F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("tfidf"))
 
 
 def vocabulary_similarity(a: DataFrame, b: DataFrame, doc: str, token: str) -> DataFrame:

@@ -7,9 +7,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import similarity
-from ..functions.tokens import kmer_set
+from ..functions.tokens import kmers
+from .reshape import numbered
 
-SYNONYMS = {"big": ["large", "huge"], "small": ["little", "tiny"], "quick": ["fast", "rapid"]}
+SYNONYMS = {"time": ["datetime", "date", "date_time"], "date": ["datetime", "time", "date_time"]}
+#: Abbreviations and signs as words without punctuation.
+SPELLINGS = {s: w for w, signs in {
+    "C-Plus-Plus": "c++ C++", "C-Sharp": "C#", "Dot-Net": ".Net", "Javascript": "JS js", "plus-one": "+1", "bike": "o%o",
+    "in my opinion": "IMO", "in my humble opinion": "IMHO", "be right back": "BRB", "out to lunch": "OTL", "out of the office": "OTO OOTO OOO",
+    "what the freak": "WTF", "freaked out beyond recognition": "FUBAR", "heart": "<3", "broken-heart": "</3",
+    "big-smile": ":-D :D", "tongue-out-smile": ":-P :P", "wink-smile": ";-) ;)", "smile": ":-)", "small-smile": ":)",
+}.items() for s in signs.split()}
 
 
 def aligned(left: DataFrame, right: DataFrame, time: str, value: str, year_shift: int = 0, monthly: bool = False, scale: float | None = 1.0, filler: float = 0.0) -> DataFrame:
@@ -30,19 +38,31 @@ def aligned(left: DataFrame, right: DataFrame, time: str, value: str, year_shift
     return joined.select("time", "y1", F.coalesce(F.col("__y") / scale, F.lit(filler)).alias("y2"))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: float = 0.85, k: int = 2) -> DataFrame:
-    """key, other and score of distinct strings that share a k-mer (or are equal, or shorter than k) and whose similarity is at least least.
+def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: float = 0.85) -> DataFrame:
+    """key, other and score of all pairs of distinct strings whose similarity is at least least (above 0).
 
-    Lengths bound the similarity, so pairs of too different lengths aren't compared. least must be above 0.5 so that no
-    pair without a common k-mer is lost among strings of at least 2k + 1 characters."""
+    With at most d edits in m characters, strings share at least m - 1 - 2 d pairs of letters. As d <= (1 - least) m, a
+    string of l letters shares (2 least - 1) l - 1 of them with each partner. So among each string's pairs of letters in
+    order of rarity, but for the last so many less one, there is one that is also among its partner's, and only those are
+    joined. Strings too short for that are joined by single letters, of which one at least is shared."""
     a = left.select(F.col(key).alias("key")).where(F.trim("key") != "").distinct()
     b = right.select(F.col(other).alias("other")).where(F.trim("other") != "").distinct()
-    pieces = lambda c: F.array_distinct(F.concat(F.array(F.left(c, F.lit(1))), kmer_set(c, k)))
-    ga = a.withColumn("g", F.explode(pieces(F.col("key"))))
-    gb = b.withColumn("g", F.explode(pieces(F.col("other"))))
+    counted = lambda c, k: F.transform(kmers(c, k), lambda g, i: F.concat(g, F.lit(":"), F.size(F.filter(F.slice(kmers(c, k), 1, i + 1), lambda x: x == g)).cast("string")))
+
+    def pieces(rows: DataFrame, name: str) -> DataFrame:
+        c, shared = F.col(name), F.ceil((2 * least - 1) * F.length(name) - 1 - 1e-9)
+        return rows.select(name, F.greatest(shared, F.lit(0)).alias("shared"), F.explode(F.concat(counted(c, 2), F.when(shared < 1, F.array_distinct(F.split(c, ""))).otherwise(F.array().cast("array<string>")))).alias("g"))
+
+    ga, gb = pieces(a, "key"), pieces(b, "other")
+    rarity = ga.select("g").unionAll(gb.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def first(grams: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(name).orderBy("n", "g"))
+        own = grams.join(rarity, "g").withColumn("place", place)
+        return own.where((F.col("shared") < 1) | (F.col("place") <= F.length(name) - F.col("shared"))).select(name, "g")
+
     la, lb = F.length("key"), F.length("other")
-    near = (F.least(la, lb) >= least * F.greatest(la, lb))
-    both = ga.join(gb, "g").where(near).select("key", "other").distinct()
+    both = first(ga, "key").join(first(gb, "other"), "g").where(F.least(la, lb) >= least * F.greatest(la, lb)).select("key", "other").distinct()
     return both.withColumn("score", similarity(F.col("key"), F.col("other"))).where(F.col("score") >= least)
 
 
@@ -116,6 +136,25 @@ def synonyms(word: Column, table: dict[str, list[str]] | None = None) -> Column:
     return out
 
 
+def spelled(word: Column, table: dict[str, str] | None = None) -> Column:
+    """A word by a table of spellings; words that aren't in it stay."""
+    pairs = SPELLINGS if table is None else table
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), word), word)
+
+
+def fuzzy_value(queries: DataFrame, table: DataFrame, query: str, key: str, value: str, least: float = 0.6) -> DataFrame:
+    """query and value: the value of each query's best key (of equal keys the greatest value), or where the query is a whole
+    number n the n-th value in order of the keys (from 0, from the end if negative)."""
+    once = table.groupBy(F.col(key).alias("key")).agg(F.max(value).alias("value"))
+    q = queries.select(F.col(query).alias("query")).distinct().withColumn("place", F.trim("query").try_cast("bigint"))
+    rows = numbered(once, [F.col("key")])
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    place = F.when(F.col("place") < 0, F.col("place") + F.col("n")).otherwise(F.col("place"))
+    by_place = q.where("place is not null").crossJoin(F.broadcast(n)).withColumn("row_id", place).join(rows, "row_id").select("query", "value")  # n is one row
+    named = fuzzy_lookup(q.join(by_place, "query", "left_anti"), once, "query", "key", least)
+    return by_place.unionByName(named.join(once, named["match"] == once["key"], "left").select("query", "value"))
+
+
 def divided(table: DataFrame, field: str, target) -> tuple[DataFrame, DataFrame]:
     """Rows that match a target and the rest (with nulls): numbers and times by >=, collections by membership, others by equality."""
     c = F.col(field)

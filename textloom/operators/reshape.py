@@ -59,16 +59,16 @@ def unpivoted(table: DataFrame, keys: list[str], values: list[str], name: str =
     return table.unpivot(keys, values, name, value)
 
 
-def flattened_times(table: DataFrame, date: str | None = None) -> DataFrame:
-    """From a row for each date and a column for each time of day: ts and value. Columns that aren't times are left out."""
+def flattened_times(table: DataFrame, date: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """From a row for each date and a column for each time of day: ts and value (after the columns to keep). Columns that aren't times are left out."""
     from ..functions.dates import time_of_day, to_date
 
     date = date or next(c for c in table.columns if "date" in c.lower())
     import re
 
     times = [c for c in table.columns if c != date and re.fullmatch(r"\s*\d{1,2}:\d{2}(:\d{2})?\s*([AaPp][Mm])?\s*", c)]
-    long = table.select(F.col(f"`{date}`").cast("string").alias("day"), *[F.col(f"`{c}`").cast("double").alias(c) for c in times]).unpivot(["day"], times, "tod", "value")
-    return long.select((F.unix_seconds(to_date(F.col("day")).cast("timestamp")) + time_of_day(F.col("tod"))).alias("s"), "value").select(F.timestamp_seconds("s").alias("ts"), "value")
+    long = table.select(*keep, F.col(f"`{date}`").cast("string").alias("day"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in times]).unpivot([*keep, "day"], times, "tod", "value")
+    return long.select(*keep, (F.unix_seconds(to_date(F.col("day")).cast("timestamp")) + time_of_day(F.col("tod"))).alias("s"), "value").select(*keep, F.timestamp_seconds("s").alias("ts"), "value")
 
 
 def padded(items: Column, n: int) -> Column:

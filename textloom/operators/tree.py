@@ -81,7 +81,10 @@ def test(node: Node) -> Column:
 
 
 def build(table: DataFrame, label: str, features: list[str], kind: str = "entropy", depth: int = 20, least_gain: float = 1e-9) -> Node:
-    """Grow level by level as long as splits gain. One query a level scores all of its nodes."""
+    """Grow level by level as long as splits gain. One query a level scores all of its nodes; rows with their nodes are
+    checkpointed at each level, so none is worked out again."""
+    from ..sources.folders import settled
+
     root = Node(results={r[0]: r[1] for r in table.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string")).count().collect()})
     open_nodes = {0: root}
     state = table.where(F.col(label).isNotNull()).select(label, *features, F.lit(0).alias("__node"))
@@ -97,7 +100,7 @@ def build(table: DataFrame, label: str, features: list[str], kind: str = "entrop
             n.yes, n.no = Node(), Node()
             nodes[2 * i + 1], nodes[2 * i + 2] = n.yes, n.no
             where = F.when(F.col("__node") == i, F.when(test(n), 2 * i + 1).otherwise(2 * i + 2)).otherwise(where)
-        state = state.withColumn("__node", where)
+        state = settled(state.withColumn("__node", where))
         for r in state.where("__node > 0").groupBy("__node", F.col(label).cast("string").alias("l")).count().collect():
             nodes[r[0]].results[r[1]] = r[2]
         open_nodes = {i: n for i, n in nodes.items() if len(n.results) > 1}

@@ -37,14 +37,8 @@ def int_pairs(t: Tables):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN length(z) = 4 THEN '0' || z WHEN length(z) IN (2, 3, 5) THEN z ELSE '' END AS zip FROM (SELECT o_orderkey, CAST(o_custkey % 100000 AS VARCHAR) AS z FROM orders WHERE o_custkey % 100000 > 0)""")
+SELECT o_orderkey, CASE WHEN length(z) = 4 THEN '0' || z WHEN length(z) IN (2, 3, 5) THEN z ELSE '' END AS zip FROM (SELECT o_orderkey, CAST(o_custkey % 100000 AS VARCHAR) AS z FROM orders)""")
 def zip_norm(t: Tables):
-    return t.orders.where("o_custkey % 100000 > 0").select("o_orderkey", coerce.postal_code((F.col("o_custkey") % 100000).cast("string")).alias("zip"))
-
-
-@query()
-def zip_norm_all(t: Tables):
-    """The zip of every order, empty for a key of 0; zip_norm has the orders of its SQL only."""
     return t.orders.select("o_orderkey", coerce.postal_code((F.col("o_custkey") % 100000).cast("string")).alias("zip"))
 
 
@@ -78,18 +72,18 @@ def time_scalars(t: Tables):
 
 
 @query("""
-SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', make_date(year(o_orderdate), 1, 1)) AS BIGINT) * 86400 AS year_start, strftime(o_orderdate, '%-m/%-d/%Y') AS us, true AS us_ok FROM orders""")
+SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', make_date(year(o_orderdate), 1, 1)) AS BIGINT) * 86400 AS year_start, strftime(o_orderdate, '%-m/%-d/%Y') AS us, true AS us_ok, day(o_orderdate) <= 12 AS other_ok, false AS short_ok FROM orders""")
 def epochs_and_checks(t: Tables):
     d = F.col("o_orderdate")
     us = F.date_format(d, "M/d/yyyy")
-    return t.orders.select("o_orderkey", dates.epoch_seconds(F.year(d)).alias("year_start"), us.alias("us"), dates.is_american_date(us).alias("us_ok"))
+    return t.orders.select("o_orderkey", dates.epoch_seconds(F.year(d)).alias("year_start"), us.alias("us"), dates.is_american_date(us).alias("us_ok"), dates.is_american_date(F.date_format(d, "d/M/yyyy")).alias("other_ok"), dates.is_american_date(F.date_format(d, "M/d")).alias("short_ok"))
 
 
 @query("""
-SELECT p_partkey, split_part(p_type, ' ', 1) AS first_part, len(string_split(p_type, ' ')) AS parts, upper(left(p_name, 1)) || lower(substring(p_name, 2, 3)) AS start FROM part""")
+SELECT p_partkey, split_part(p_type, ' ', 1) AS first_part, len(string_split(p_type, ' ')) AS parts, len(list_filter(string_split_regex(p_name, '[ aeiou]'), lambda x: x <> '')) AS consonant_runs FROM part""")
 def split_parts(t: Tables):
     parts = strings.multisplit(F.col("p_type"), " ")
-    return t.part.select("p_partkey", F.element_at(parts, 1).alias("first_part"), F.size(parts).cast("bigint").alias("parts"), F.concat(F.upper(F.left("p_name", F.lit(1))), F.lower(F.substring("p_name", 2, 3))).alias("start"))
+    return t.part.select("p_partkey", F.element_at(parts, 1).alias("first_part"), F.size(parts).cast("bigint").alias("parts"), F.size(strings.multisplit(F.col("p_name"), " aeiou", keep_blank=False)).cast("bigint").alias("consonant_runs"))
 
 
 @query("""

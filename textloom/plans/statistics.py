@@ -163,28 +163,21 @@ def batches_of_100(t: Tables):
 
 
 @query("""
-WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, sum(value) AS y FROM events GROUP BY ALL), t AS (SELECT DISTINCT event_type FROM d ORDER BY event_type LIMIT 2),
-a AS (SELECT day, y FROM d WHERE event_type = (SELECT min(event_type) FROM t)), b AS (SELECT day, y FROM d WHERE event_type = (SELECT max(event_type) FROM t))
-SELECT a.day AS time, round(a.y, 4) AS y1, round(coalesce(b.y / 2, 0), 4) AS y2 FROM a LEFT JOIN b USING (day)""")
+WITH a AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS y FROM events GROUP BY ALL), b AS (SELECT CAST(o_orderdate AS DATE) AS day, min(o_totalprice) AS y FROM orders GROUP BY ALL),
+s AS (SELECT CAST(day + INTERVAL 28 YEAR AS DATE) AS day, min(day) AS was, min_by(y, day) AS y FROM b GROUP BY 1)
+SELECT a.day AS time, round(a.y, 4) AS y1, round(coalesce(s.y / 2, 0), 4) AS y2 FROM a LEFT JOIN s USING (day)""")
 def align_daily(t: Tables):
-    daily = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.sum("value").alias("y"))
-    kinds = [r[0] for r in daily.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    a, b = (daily.where(F.col("event_type") == k).select("day", "y") for k in kinds)
-    return joins.aligned(a, b, "day", "y", scale=2.0).select("time", F.round("y1", 4).alias("y1"), F.round("y2", 4).alias("y2"))
+    """Every day of the events with the least order of the same day 28 years before."""
+    a = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("y"))
+    b = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.min("o_totalprice").alias("y"))
+    return joins.aligned(a, b, "day", "y", year_shift=28, scale=2.0).select("time", F.round("y1", 4).alias("y1"), F.round("y2", 4).alias("y2"))
 
 
 @query("""
-WITH s AS (SELECT user_id, epoch_us(ts) AS t, avg(value) AS v FROM events WHERE user_id < 20 GROUP BY ALL), b AS (SELECT user_id, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1, min(t) OVER (PARTITION BY user_id) AS f FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+WITH s AS (SELECT user_id, epoch_us(ts) AS t, avg(value) AS v FROM events GROUP BY ALL), b AS (SELECT user_id, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1, min(t) OVER (PARTITION BY user_id) AS f FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 e AS (SELECT user_id, min(t) AS f, max(t) AS l FROM s GROUP BY user_id), g AS (SELECT user_id, f + unnest(range(0, (l - f) // 21600000000 + 1)) * 21600000000 AS grid_t FROM e)
 SELECT g.user_id, grid_t // 1000000 AS secs, round(v + coalesce((v1 - v) * ((grid_t - t) / (t1 - t)), 0), 6) AS value FROM g JOIN b ON g.user_id = b.user_id AND grid_t >= t AND (t1 IS NULL OR grid_t < t1)""")
 def resample_6h(t: Tables):
-    r = windows.resampled(t.events.where("user_id < 20"), "ts", "value", "6 hours", ("user_id",))
-    return r.select("user_id", F.unix_seconds("ts").alias("secs"), F.round("value", 6).alias("value"))
-
-
-@query()
-def resample_6h_all(t: Tables):
-    """The series of every user; resample_6h has those of its SQL only."""
     r = windows.resampled(t.events, "ts", "value", "6 hours", ("user_id",))
     return r.select("user_id", F.unix_seconds("ts").alias("secs"), F.round("value", 6).alias("value"))
 

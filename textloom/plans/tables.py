@@ -89,7 +89,7 @@ def vocab_pairs(t: Tables):
 
 @query()
 def reduced_vocabulary(t: Tables):
-    return joins.reduced_vocabulary(t.nation, "n_name", 0.5)
+    return joins.reduced_vocabulary(t.nation, "n_name", 0.5, longest_first=True)
 
 
 @query("""
@@ -100,10 +100,10 @@ def divided_orders(t: Tables):
 
 
 @query("""
-SELECT s_suppkey, '| ' || array_to_string([s_acctbal::VARCHAR, s_name], ' | ') || ' |' AS line FROM (SELECT s_suppkey, CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) AS s_acctbal, s_name FROM (SELECT s_suppkey, trunc(s_acctbal) AS s_acctbal, s_name FROM supplier))""")
+SELECT '| ' || array_to_string([CAST(CAST(trunc(s_acctbal) AS BIGINT) AS VARCHAR), s_name, s_suppkey::VARCHAR], ' | ') || ' |' AS line FROM supplier""")
 def markdown_rows(t: Tables):
-    s = t.supplier.select("s_suppkey", F.col("s_acctbal").cast("bigint").cast("string").alias("a"), "s_name")
-    return s.select("s_suppkey", F.concat(F.lit("| "), F.concat_ws(" | ", "a", "s_name"), F.lit(" |")).alias("line"))
+    s = t.supplier.select(F.col("s_acctbal").cast("bigint").alias("a"), "s_name", "s_suppkey")
+    return reshape.markdown_lines(s)
 
 
 @query("""
@@ -124,9 +124,9 @@ def orders_by_nation(t: Tables):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def customers_without_orders(t: Tables):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""
@@ -161,9 +161,9 @@ def flattened_hours(t: Tables):
     return reshape.flattened_times(wide).select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("value", 4).alias("value"))
 
 
-@query("SELECT epoch(o_orderdate)::DOUBLE AS o_orderdate, o_totalprice, NULL::DOUBLE AS o_orderstatus FROM orders")
+@query("SELECT epoch(o_orderdate)::DOUBLE AS o_orderdate, o_totalprice, NULL::DOUBLE AS o_orderstatus, o_custkey / 4.0 AS code FROM orders")
 def quantified_orders(t: Tables):
-    return reshape.quantified(t.orders.select("o_orderdate", "o_totalprice", "o_orderstatus"))
+    return reshape.quantified(t.orders.select("o_orderdate", "o_totalprice", "o_orderstatus", F.concat(F.lit(" "), (F.col("o_custkey") / 4).cast("string")).alias("code")))
 
 
 @query("""

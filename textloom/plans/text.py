@@ -28,8 +28,9 @@ SELECT bigram, count(*) AS n FROM (
   SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM (SELECT {WORDS} AS w FROM documents))
 GROUP BY bigram ORDER BY n DESC, bigram LIMIT 50""")
 def bigram_top(t: Tables):
-    grams = t.documents.select(F.explode(tokens.ngrams(tokens.ascii_words(F.col("text")), 2)).alias("bigram"))
-    return grams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bigram").limit(50)
+    """Pairs are counted as pairs; only their counts' rows become strings."""
+    pairs = t.documents.select(F.explode(tokens.ngram_structs(tokens.ascii_words(F.col("text")), 2)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select(F.concat_ws(" ", "g.w1", "g.w2").alias("bigram"), "n").orderBy(F.desc("n"), "bigram").limit(50)
 
 
 @query(f"""
@@ -52,19 +53,17 @@ def kmer_set_size(t: Tables):
     return t.part.select("p_partkey", F.size(tokens.kmer_set(F.col("p_name"), 4)).cast("bigint").alias("n_distinct"), F.try_element_at(tokens.sorted_kmers(F.col("p_name"), 4), F.lit(1)).alias("first_kmer"), F.size(k).cast("bigint").alias("n"))
 
 
-def _shingles(column: str) -> str:
-    return f"list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS {column}"
-
-
 @query(f"""
 WITH d AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS g FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
 b AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS g FROM (SELECT item_id, {WORDS} AS w FROM benchmark))
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id""")
 def kmer_overlap_benchmark(t: Tables):
     """Runs of five words that documents share with benchmark items."""
-    grams = lambda c: F.explode(F.array_distinct(tokens.ngrams(tokens.ascii_words(F.col(c)), 5))).alias("g")
-    # The benchmark's side is small; Spark broadcasts it if its size allows.
-    return t.documents.select("doc_id", grams("text")).join(t.benchmark.select("item_id", grams("text")), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    grams = lambda c: F.explode(tokens.ngram_structs(tokens.ascii_words(F.col(c)), 5)).alias("g")
+    # Most runs of the documents have no partner, so they are made distinct after the join. Spark broadcasts the
+    # benchmark's side if its size allows.
+    found = t.documents.select("doc_id", grams("text")).join(t.benchmark.select("item_id", grams("text")).distinct(), "g")
+    return found.distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query("""
@@ -112,18 +111,19 @@ def pattern_counts(t: Tables):
 
 
 @query(r"""
-SELECT class, count(*) AS n FROM (
-  SELECT CASE WHEN regexp_full_match(w, '\$[0-9]+[.][0-9]+[BMKk]') THEN 'usd_decimal_scaled' WHEN regexp_full_match(w, '\$[0-9]+[BMKk]') THEN 'usd_scaled'
+SELECT class, sum(n)::BIGINT AS n FROM (
+  SELECT n, CASE WHEN regexp_full_match(w, '\$[0-9]+[.][0-9]+[BMKk]') THEN 'usd_decimal_scaled' WHEN regexp_full_match(w, '\$[0-9]+[BMKk]') THEN 'usd_scaled'
     WHEN regexp_full_match(w, '\$[0-9]+[.][0-9][0-9]') THEN 'usd_cents' WHEN regexp_full_match(w, '\$[0-9]+') THEN 'usd'
     WHEN regexp_full_match(w, '((19|20)?[0-9]0''?s)') THEN 'decade' WHEN regexp_full_match(w, '(19|20)?[0-9][0-9]') THEN 'year'
     WHEN regexp_full_match(w, '[A-Z0-9]{2,6}[0-9]{0,2}') THEN 'acronym' WHEN regexp_full_match(w, '[0-9]+[.]?[0-9]* ?[eE] ?[0-9]+') THEN 'float_e'
     WHEN regexp_full_match(w, '[0-9]+[.]?[0-9]*') THEN 'float' WHEN regexp_full_match(w, '[A-Za-z0-9_]+-[A-Za-z0-9_]+') THEN 'hyphenated_alpha'
-    WHEN regexp_full_match(w, '[A-Za-z0-9_]+') THEN 'contracted_alpha' ELSE 'nonword' END AS class
-  FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]+')) AS w FROM documents)
-  WHERE regexp_full_match(w, '[A-Za-z0-9_$.-]+') ) WHERE class <> 'nonword' GROUP BY class""")
+    WHEN regexp_full_match(w, '[''`’](tis|twas)|[A-Za-z0-9_]+[''`’][a-zA-Z]{1,2}|[A-Za-z0-9_]+') THEN 'contracted_alpha' WHEN regexp_full_match(w, '[^ \t\n\r\f\vA-Za-z0-9_]+') THEN 'nonword' ELSE 'none' END AS class
+  FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')) AS w FROM documents) WHERE w <> '' GROUP BY w)) GROUP BY class""")
 def token_class_counts(t: Tables):
-    words = t.documents.select(F.explode(P.extract(F.col("text"), r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]+")).alias("w")).where(F.col("w").rlike("^[A-Za-z0-9_$.-]+$"))
-    return words.groupBy(P.token_class(F.col("w")).alias("class")).agg(F.count(F.lit(1)).alias("n")).where("class <> 'nonword'")
+    """What stands between white space, classified once for each distinct token."""
+    words = t.documents.select(F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("w")).where("w <> ''")
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(F.coalesce(P.token_class(F.col("w")), F.lit("none")).alias("class")).agg(F.sum("n").alias("n"))
 
 
 def _treebank_sql(text: str) -> str:
@@ -132,7 +132,7 @@ def _treebank_sql(text: str) -> str:
         (r"([^.])([.])([\])}>\"']*)\s*$", r"\1 \2\3 "), ("[?!]", r" \0 "), ("([^'])' ", r"\1 ' "), (r"[\]\[(){}<>]", r" \0 "), ("--", " -- "),
     ]
     rest = [('"', " '' "), (r"(\S)('')", r"\1 \2 "), ("(?i)([^' ])('[smd]|') ", r"\1 \2 "), ("(?i)([^' ])('ll|'re|'ve|n't) ", r"\1 \2 ")]
-    rest += [(rf"(?i)\b({a})({b})\b", r"\1 \2 ") for a, b in (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"))] + [(r"(?i)\b(wan)(na) ", r"\1 \2 ")]
+    rest += [(rf"(?i)\b({a})({b})\b", r"\1 \2 ") for a, b in (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("mor", "'n"))] + [(r"(?i)\b(wan)(na) ", r"\1 \2 "), (r"(?i) ('t)(is|was)\b", r" \1 \2 ")]
     q = lambda x: "'" + x.replace("'", "''") + "'"
     for p, by in rules:
         text = f"regexp_replace({text}, {q(p)}, {q(by)}, 'g')"
@@ -143,9 +143,10 @@ def _treebank_sql(text: str) -> str:
 
 
 @query(rf"""
-SELECT conv_id, turn, len(list_filter(regexp_split_to_array(trim(s), '\s+'), lambda x: x <> '')) AS n_tokens FROM (SELECT conv_id, turn, {_treebank_sql("text")} AS s FROM conversations)""")
+SELECT conv_id, turn, len(list_filter(regexp_split_to_array(trim(s), '\s+'), lambda x: x <> '')) AS n_tokens, md5(array_to_string(list_filter(regexp_split_to_array(trim(s), '\s+'), lambda x: x <> ''), ' ')) AS digest FROM (SELECT conv_id, turn, {_treebank_sql("text")} AS s FROM conversations)""")
 def treebank_token_count(t: Tables):
-    return t.conversations.select("conv_id", "turn", F.size(tokens.treebank(F.col("text"))).cast("bigint").alias("n_tokens"))
+    found = tokens.treebank(F.col("text"))
+    return t.conversations.select("conv_id", "turn", F.size(found).cast("bigint").alias("n_tokens"), F.md5(F.array_join(found, " ")).alias("digest"))
 
 
 @query("""
@@ -166,6 +167,13 @@ def tfidf_top(t: Tables):
     return top(scores, 3, ["doc"], [F.desc("tfidf"), F.col("token")]).drop("df")
 
 
+@query(f"""
+SELECT doc_id, array_to_string(w[1:3], ' ') AS start, len(w) AS n, len(list_filter(w, lambda x: length(x) BETWEEN 4 AND 8 AND x NOT IN ('this', 'that'))) AS n_kept FROM (SELECT doc_id, {WORDS} AS w FROM documents)""")
+def filtered_words(t: Tables):
+    w = tokens.ascii_words(F.col("text"))
+    return t.documents.select("doc_id", F.array_join(F.slice(w, 1, 3), " ").alias("start"), F.size(w).cast("bigint").alias("n"), F.size(tokens.filtered(w, 4, 8, blacklist=("this", "that"))).cast("bigint").alias("n_kept"))
+
+
 @query(f"""
 WITH a AS (SELECT DISTINCT doc_id AS doc, unnest({WORDS}) AS token FROM documents), b AS (SELECT DISTINCT unnest({WORDS}) AS token FROM benchmark)
 SELECT doc, count(*) AS n_tokens, count(b.token) AS n_shared, round(count(b.token) / count(*), 6) AS share FROM a LEFT JOIN b USING (token) GROUP BY doc""")

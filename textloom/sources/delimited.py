@@ -30,11 +30,11 @@ def _tidy(df: DataFrame, numbers: bool, normalize_names: bool) -> DataFrame:
     return normalized_columns(out) if normalize_names else out
 
 
-def read(spark: SparkSession, path: str | list[str], separator: str = ",", header: bool = True, numbers: bool = False, normalize_names: bool = False, encoding: str = "UTF-8", schema=None, recursive: bool = False, glob: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], separator: str = ",", header: bool = True, numbers: bool = False, normalize_names: bool = False, encoding: str = "UTF-8", schema=None, recursive: bool = False, glob: str | None = None, multi_line: bool = False) -> DataFrame:
     """Rows of delimited files. Blank rows go, and a line-break tag at the end of the header and of rows.
 
-    Quoted cells may hold separators and line ends. Without a schema all cells are strings, or numbers where a whole column is."""
-    r = spark.read.options(sep=separator, header=header, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding, recursiveFileLookup=recursive)
+    Quoted cells may hold separators, and line ends if multi_line; files can't be split then. Without a schema all cells are strings, or numbers where a whole column is."""
+    r = spark.read.options(sep=separator, header=header, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding, recursiveFileLookup=recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if schema is not None:
@@ -69,15 +69,35 @@ def write_many(tables: list[DataFrame], path: str, **options) -> list[str]:
     return paths
 
 
+def _first_line(paths: pd.Series) -> pd.Series:
+    import pyarrow.fs as pafs
+
+    out = []
+    for p in paths:
+        fs, at = pafs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+        head = b""
+        with fs.open_input_stream(at) as f:
+            while b"\n" not in head and (more := f.read(1 << 16)):
+                head += more
+        out.append(head.split(b"\n", 1)[0].decode("utf-8", "replace").strip())
+    return pd.Series(out)
+
+
 def flattened_files(spark: SparkSession, path: str, glob: str = "*.csv", separator: str = ",") -> DataFrame:
-    """path, ts and value of all files under path that have a date column and a column for each time of day."""
+    """path, ts and value of all files under path that have a date column and a column for each time of day.
+
+    Files of one header are read in one scan; the driver sees the files' names and each distinct header."""
     from ..operators.reshape import flattened_times
 
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(path).select("path")
     out = None
-    for file in sorted(r.path for r in spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(path).select("path").collect()):
-        one = flattened_times(read(spark, file, separator)).select(F.lit(file).alias("path"), "ts", "value")
+    for group in files.groupBy(F.pandas_udf(_first_line, "string")("path").alias("head")).agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect():
+        table = spark.read.options(sep=separator, header=True, quote='"', escape='"').csv(group.paths)
+        names = [c.strip() for c in table.columns]
+        table = table.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path")).toDF(*names, "path")
+        one = flattened_times(table, keep=("path",)).select("path", "ts", "value")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else spark.createDataFrame([], "path string, ts timestamp, value double")
 
 
 def transcoded(spark: SparkSession, path: str, source: str = "shift_jis") -> DataFrame:
