@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -83,3 +85,65 @@ def test_the_fit_is_the_same_each_time(spark, frame):
     rows, labels = corpus(200)
     a, b = ({r.doc_id: r.p_good for r in C.classify_documents(frame(rows).repartition(k), labelled(spark, labels)).collect()} for k in (2, 5))
     assert a == pytest.approx(b, abs=1e-5)
+
+
+def brute(rows, labels):
+    """p_good of every row: contexts, vectors and means token by token, the network by its formula."""
+    plus, minus = C.index_vectors(C.BUCKETS, C.DIMENSIONS, C.SEED)
+    sums = {}
+    for _, t in rows:
+        b = C.token_buckets([t], C.BUCKETS)[0].tolist()
+        for i, x in enumerate(b):
+            own = sums.setdefault(x, np.zeros(C.DIMENSIONS))
+            for j in range(max(0, i - C.WINDOW), min(len(b), i + C.WINDOW + 1)):
+                own[plus[b[j]]] += 1
+                own[minus[b[j]]] -= 1
+    vector = {x: v / max(np.sqrt((v * v).sum()), 1e-12) for x, v in sums.items()}
+
+    def mean(t):
+        b = C.token_buckets([t], C.BUCKETS)[0].tolist()
+        return sum(vector[x] for x in b) / len(b) if b else np.zeros(C.DIMENSIONS)
+
+    good = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            good[i] = min(y, good.get(i, 1))
+    text = {}
+    for i, t in rows:
+        if i in good:
+            assert i not in text, "only ids of one row here"
+            text[i] = t
+    ids = sorted(text)
+    net = C.fit_network(np.array([mean(text[i]) for i in ids], np.float32).reshape(len(ids), C.DIMENSIONS), np.array([float(good[i] > 0) for i in ids]))
+
+    def probability(t):
+        if not len(C.token_buckets([t], C.BUCKETS)[0]):
+            return 0.0
+        if net.constant is not None:
+            return net.constant
+        hidden = [math.tanh(sum((m - a) / s * w for m, a, s, w in zip(mean(t), net.mean, net.scale, net.w1[:, k], strict=True)) + net.b1[k]) for k in range(len(net.b1))]
+        return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature))
+
+    return [(i, probability(t)) for i, t in rows]
+
+
+def test_the_query_is_as_brute_force(spark, frame, tmp_path):
+    rows, labels = corpus(260, 9)
+    rows += [(None, "g1 b1 n1"), (900, None), (901, ""), (902, "BIG Words, and; signs!")]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labelled(spark, labels[:200]).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(((r.doc_id, r.p_good, r.keep) for r in C.query(spark, str(tmp_path)).collect()), key=str)
+    want = sorted(brute(rows, [(i, y) for i, y, _ in labels[:200]]), key=str)
+    assert [i for i, *_ in got] == [i for i, _ in want]
+    assert [p for _, p, _ in got] == pytest.approx([p for _, p in want], abs=2e-3)
+    assert all(keep == (p >= C.THRESHOLD and p > 0) for _, p, keep in got)
+    assert {keep for *_, keep in got} == {True, False}
+
+
+def test_a_labelled_id_of_many_rows_is_fitted_once(spark, frame):
+    """Thousands of rows under one labelled id: one of them counts, whatever their order."""
+    rows, labels = corpus(120)
+    more = rows + [(0, f"b{k % 150} again g{k}") for k in range(400)]
+    a, b = (sorted((r.doc_id, r.p_good) for r in C.classify_documents(frame(x), labelled(spark, labels)).collect()) for x in (more, more[::-1]))
+    assert [i for i, _ in a] == [i for i, _ in b] and len(a) == len(more)
+    assert [p for _, p in a] == pytest.approx([p for _, p in b], abs=1e-5)

@@ -13,11 +13,15 @@ logits, so that its probabilities are calibrated.
 The network is fitted on at most max_labelled labelled documents, chosen by a
 seeded hash of their ids; word vectors are counted over all documents.
 
-Cases: a null or blank text gets probability 0.0 and is rejected. Repeated
-rows count and score as often as they occur; of repeated labels the lowest
-counts; null labels and ids are left out. If the labels have fewer than two
+Cases: a null or blank text gets probability 0.0 and is rejected. Very long
+texts are counted and pooled whole. Repeated rows count and score as often as
+they occur; of several rows with a labelled id the network is fitted to the one
+whose text has the least hash, so at most max_labelled rows reach the driver; of
+repeated labels the lowest counts; null labels and ids are left out. A
+probability equal to the threshold is kept. If the labels have fewer than two
 classes the network isn't fitted, and every text with tokens gets the share of
-good labels (0.5 without labels).
+good labels (0.5 without labels). An empty table gives no rows. Extra columns,
+whatever their names, play no part; keep_documents returns them as they are.
 """
 
 from __future__ import annotations
@@ -183,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = narrow(labels, id="doc_id", good="quality").where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"))
     # At most max_labelled rows of two numbers, so the broadcast has a fixed bound.
     some = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_labelled)
-    own = narrow(docs, id=id_col, text=text_col).join(F.broadcast(some), "id")
+    every = narrow(docs, id=id_col, text=text_col).join(F.broadcast(some), "id")
+    own = every.groupBy("id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     rows = own.select("id", "good", pooled_column(docs.sparkSession, vectors)("text").alias("x")).toPandas().sort_values("id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), vectors.shape[1])
     return vectors, fit_network(x, (rows["good"].to_numpy() > 0).astype(float), seed)

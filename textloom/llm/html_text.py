@@ -17,7 +17,9 @@ closed as browsers do in the common cases, without recursion.
 
 Cases: a null or empty page gives an empty text, no title and score 0.0. A
 page without any paragraph that scores gives all of its body's text. Of equal
-scores the first in the page wins. Repeated rows each give a row.
+scores the first in the page wins. Repeated rows, and rows of one id, each give
+a row; null ids stay. Very long pages are parsed whole. An empty table gives no
+rows. Extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ task; texts are never shuffled.
 
 Cases: null and empty texts have no blocks. Repeated rows, and equal blocks of
 a text, each give their matches. Ties in frequency are ordered by the token. A
-template without tokens never matches.
+template without tokens never matches. Null doc_ids are reported as such. Very
+long texts and lines are scanned whole. An empty table gives no rows. Extra
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

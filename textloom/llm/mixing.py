@@ -17,8 +17,11 @@ no document is shuffled.
 Tokens are words. Cases: a predicate that gives null counts as false; a
 document of no source, or of no tokens, is not selected. Equal rows have equal
 hashes and are selected together. A null doc_id counts as any other value.
-Quotas beyond what copies can supply stay unfilled; weights need not add up to
-1. No documents, or no tokens, give no rows.
+Very long texts count whole and are selected whole. Where two cuts are equally
+near the lower is taken. Quotas beyond what copies can supply stay unfilled;
+weights need not add up to 1. No documents, or no tokens, give no rows. Extra
+columns stay as they are; predicates see all columns by name, of those whose
+names differ by case only the first.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ rejected as it has nothing to keep. Repeated rows count and score as often as
 they occur; a doc_id in more than one row makes all its rows trusted if it is
 trusted. A null doc_id is never trusted. Without trusted documents there is nothing to
 tell the two models apart: every n-gram has 0.0, and all texts that have any
-are kept. An empty table gives no rows.
+are kept. A score equal to the threshold is kept. Very long texts count whole. An
+empty table gives no rows. Extra columns, whatever their names, play no part;
+keep_documents returns them as they are.
 """
 
 from __future__ import annotations
