@@ -88,6 +88,12 @@ def stored_row(folder: str, column: str, value: int) -> dict:
     return pq.read_table(f"{path}/{column}={value}", filesystem=fs, partitioning=None).to_pylist()[0]
 
 
+def removed(folder: str) -> None:
+    """Delete a folder of this library's own in the shared folder."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.delete_dir(path)
+
+
 def trim() -> None:
     """Give memory that this worker no longer uses back to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
