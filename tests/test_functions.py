@@ -178,3 +178,7 @@ def test_text_cleaning(apply):
     assert apply(lambda x: strings.prefix_order(x, ["un", "ch"]), "Chad", "unit", "zoo") == [2, 1, 3]
     assert apply(lambda x: strings.is_ignorable(x, ["tmp"]), "/a/TMPfile", "/a/b") == [True, False]
     assert apply(lambda x: strings.similarity(x, F.lit("abcd")), "abcd", "abxd", "") == [1.0, 0.75, 0.0]
+
+
+def test_sentences_with_separators(apply):
+    assert apply(lambda x: tokens.sentences(x, keep=True), "One. Two? three")[0] == ["One", ". ", "Two", "? ", "three"]

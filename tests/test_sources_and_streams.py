@@ -79,3 +79,60 @@ def test_stream_state_and_sinks(spark, event_files, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(event_files).count()
     e = spark.read.parquet(event_files)
     assert W.joined(e, e, "event_id").count() == e.count()
+
+
+def workbook(path, rows, dates=(), name="Data"):
+    """A small .xlsx: strings shared, numbers and serial dates (rows, columns in dates) as they are."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    strings = []
+
+    def cell(i, j, v):
+        at = f"{chr(65 + j)}{i + 1}"
+        if v is None:
+            return ""
+        if isinstance(v, str):
+            strings.append(v)
+            return f'<c r="{at}" t="s"><v>{len(strings) - 1}</v></c>'
+        return f'<c r="{at}" s="{int((i, j) in dates)}"><v>{v}</v></c>'
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    body = "".join(f'<row r="{i + 1}">' + "".join(cell(i, j, v) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{escape(x)}</t></si>" for x in strings) + "</sst>")
+
+
+def test_workbooks(spark, tmp_path):
+    from textloom.sources import sheets
+
+    for k in range(2):
+        workbook(tmp_path / f"b{k}.xlsx", [["Date", "9:00", "10:00", "note"], [45292 + k, 1.5 + k, 2, "a & b"], [None, None, None, None], [45300.0 + k, 3, None, None]], {(1, 0), (3, 0)})
+    rows = sheets.sheets(spark, str(tmp_path))
+    assert rows.count() == 6 and {r.sheet for r in rows.collect()} == {"Data"}
+    t = sorted((r["Date"], r["9:00"], r["10:00"], r["note"]) for r in sheets.as_table(rows).collect())
+    assert t[0] == ("2024-01-01", "1.5", "2", "a & b") and t[-1][0] == "2024-01-10" and t[-1][2] is None
+    got = sorted((str(r.ts), r.value) for r in sheets.flattened_sheets(spark, str(tmp_path)).collect() if r.value is not None)
+    assert got[0] == ("2024-01-01 09:00:00", 1.5) and len(got) == 6
+
+
+def test_html_table_as_table(spark):
+    html = "<table><tr><th>name</th><th>name</th><th></th></tr><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td><td>e</td></tr></table>"
+    rows = html_tables.html_tables(spark.createDataFrame([(1, html)], "page_id bigint, html string"))
+    t = html_tables.as_table(rows, 1)
+    assert t.columns == ["name", "name_1", "c2"] and [tuple(r) for r in t.collect()] == [("a", "b", None), ("c", "d", "e")]
+    assert html_tables.as_table(rows, 1, header=False).count() == 3
+
+
+def test_batches_of_a_stream(spark, tmp_path):
+    from textloom.streaming import windows as event_windows
+
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    seen = []
+    stream = spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in")
+    event_windows.run_batches(stream, lambda batch, n: seen.append((n, batch.count())), f"{tmp_path}/checkpoint")
+    assert sum(n for _, n in seen) == 10 and [i for i, _ in seen] == list(range(len(seen)))

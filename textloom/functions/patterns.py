@@ -128,7 +128,8 @@ CLASSED_TOKEN = one_of([f"({p})" for p in TOKEN_CLASSES.values()])
 BAD_FILENAME = r"[!\"#$%&'()*+,./:;<=>?@\[\\\]^`{|}~\x00-\x08\x0e-\x1f\x7f]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
-REDEFINED = r"(\nC?RE_[A-Z_]+ )[\w\W]*\1"
+#: A constant that a source text sets at the beginning of two lines.
+SET_TWICE = r"(?ms)^([A-Z][A-Z0-9_]*)\s*=.*^\1\s*="
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-ABBREVIATIONS = {"social security number": "SSN", "serial number": "SN"} | dict(building="bldg", customer="cust", account="acct", member="membr", number="num")
+ABBREVIATIONS = {
+    "account": "acct",
+    "building": "bldg",
+    "customer": "cust",
+    "member": "membr",
+    "number": "num",
+    "serial number": "SN",
+    "social security number": "SSN",
+}
 #: Look-alikes beyond ASCII.
 LOOKALIKES = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "×": "x", "´": "'", "…": ".", " ": " "}
 ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"

@@ -44,9 +44,10 @@ def ascii_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def sentences(text: Column, separator: str = P.SENTENCE_SEPARATOR) -> Column:
-    """Parts between sentence ends; empty ones are left out."""
-    return F.filter(F.split(text, separator), lambda s: s != "")
+def sentences(text: Column, separator: str = P.SENTENCE_SEPARATOR, keep: bool = False) -> Column:
+    """Parts between sentence ends; empty ones are left out. keep: with the separators between them as parts of their own."""
+    parts = F.split(replace(text, separator, "\u0000$0\u0000"), "\u0000") if keep else F.split(text, separator)
+    return F.filter(parts, lambda s: s != "")
 
 
 def _runs(items: Column, size: Callable[[Column], Column], n: int, part: Callable[[Column, Column], Column], kind: str) -> Column:

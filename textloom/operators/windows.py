@@ -1,10 +1,15 @@
-"""Windows over sequences and time series. Partition columns keep tasks bounded; without them a sequence is one partition."""
+"""Windows over sequences and time series.
+
+With partition columns each sequence is a window partition. Without them the one
+sequence is numbered over a range partitioning, and places are joined, so that
+no task sees all of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import settled
 from .reshape import numbered
 
 
@@ -12,10 +17,26 @@ def _over(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def _placed(table: DataFrame, order: list[str]) -> DataFrame:
+    """table with __r, the place in an order; worked out once, as both sides of a join need the same."""
+    return settled(numbered(table, [F.col(o) for o in order], "__r"))
+
+
+def _at(rows: DataFrame, value: str, lag, name: str) -> DataFrame:
+    """The value lag places before, with __hit where there is one."""
+    other = rows.select((F.col("__r") + lag).alias("__r"), F.col(value).alias(name), F.lit(True).alias("__hit"))
+    return rows.join(other, "__r", "left")
+
+
 def sliding(table: DataFrame, value: str, order: list[str], n: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows with window: the value and the n - 1 after it; rows without so many are left out."""
-    w = _over(list(by), order).rowsBetween(0, n - 1)
-    return table.withColumn("window", F.collect_list(value).over(w)).where(F.size("window") == n)
+    if by:
+        w = _over(list(by), order).rowsBetween(0, n - 1)
+        return table.withColumn("window", F.collect_list(value).over(w)).where(F.size("window") == n)
+    rows = _placed(table, order)
+    parts = rows.select(F.explode(F.sequence(F.col("__r") - (n - 1), F.col("__r"))).alias("__r"), F.struct(F.col("__r").alias("i"), F.col(value).alias("v")).alias("x"))
+    windows = parts.groupBy("__r").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("window")).where(F.size("window") == n)
+    return rows.join(windows, "__r").drop("__r")
 
 
 def batches(table: DataFrame, value: str, order: list[str], size: int, start: int = 0) -> DataFrame:
@@ -27,6 +48,9 @@ def batches(table: DataFrame, value: str, order: list[str], size: int, start: in
 
 def lagged(table: DataFrame, value: str, order: list[str], lag: int = 1, pad=None, by: tuple[str, ...] = (), name: str = "lagged") -> DataFrame:
     """The value lag rows before (after, if negative), with pad where there is none."""
+    if not by:
+        rows = _at(_placed(table, order).withColumnRenamed(value, "__v"), "__v", lag, "__lagged").withColumnRenamed("__v", value)
+        return rows.withColumn(name, F.when(F.col("__hit"), F.col("__lagged")).otherwise(F.lit(pad))).drop("__r", "__lagged", "__hit")
     w = _over(list(by), order)
     column = F.lag(value, lag, pad).over(w) if lag >= 0 else F.lead(value, -lag, pad).over(w)
     return table.withColumn(name, column)
@@ -34,8 +58,12 @@ def lagged(table: DataFrame, value: str, order: list[str], lag: int = 1, pad=Non
 
 def lagged_circular(table: DataFrame, value: str, order: list[str], lag: int = 1, by: tuple[str, ...] = (), name: str = "lagged") -> DataFrame:
     """The value lag rows before, from the end again at the beginning."""
-    w = _over(list(by), order)
-    rows = table.withColumn("__r", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    if by:
+        w = _over(list(by), order)
+        rows = table.withColumn("__r", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    else:
+        placed = _placed(table, order)
+        rows = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("__n"))))  # one row
     other = rows.select(*by, F.pmod(F.col("__r") + lag, F.col("__n")).alias("__r"), F.col(value).alias(name))
     return rows.join(other, [*by, "__r"]).drop("__r", "__n")
 
@@ -75,17 +103,16 @@ def clipped(series: DataFrame, time: str, low=None, high=None) -> DataFrame:
 
 
 def adaptive_density(table: DataFrame, x: str, window: int = 10, probability: bool = True, edge: float = 1.0) -> DataFrame:
-    """x (0 to 1) and density from order statistics: the share of points in a window over its width; both edges are added.
-
-    Sorted in one partition, as order statistics of a single sample are."""
+    """x (0 to 1) and density from order statistics: the share of points in a window over its width; both edges are added."""
     bounds = table.where(F.col(x).isNotNull()).agg(F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("b"), F.count(x).alias("n"))
     r = bounds.first()
     if not r.n or r.a == r.b:
         return table.select(F.lit(0.0).alias("x"), F.lit(1.0).alias("density")).limit(0)
     w = max(1, min(window, int(r.n / 1.5))) + 1
-    order = Window.orderBy("u")
     u = table.where(F.col(x).isNotNull()).select(((F.col(x) - r.a) / (r.b - r.a)).alias("u"))
-    wide = u.select(F.lead("u", w // 2).over(order).alias("x"), (F.lead("u", w - 1).over(order) - F.col("u")).alias("d")).where("d is not null")
+    rows = _placed(u, ["u"])
+    ahead = lambda k, name: rows.select((F.col("__r") - k).alias("__r"), F.col("u").alias(name))
+    wide = rows.join(ahead(w // 2, "x"), "__r").join(ahead(w - 1, "last"), "__r").select("x", (F.col("last") - F.col("u")).alias("d"))
     inner = wide.select("x", F.try_divide(F.lit((w - 1) / (r.n - 1)), F.col("d")).alias("density"))
     if not probability:
         inner = inner.withColumn("density", F.col("density") * r.n)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import maths
-from ..operators import aggregates, confusion, joins, reshape, windows
+from ..functions import maths, tokens
+from ..operators import aggregates, confusion, joins, reshape, tree, windows
 from .registry import Tables, query
 
 
@@ -140,3 +140,48 @@ SELECT threshold, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS
 def threshold_of_specificity(t: Tables):
     curve = confusion.roc(t.labels.join(t.documents, "doc_id").select("n_chars", "quality"), "n_chars", "quality")
     return confusion.threshold_for(curve, 0.8).select("threshold", F.round("sensitivity", 9).alias("sensitivity"), F.round("specificity", 9).alias("specificity"))
+
+
+@query("""
+SELECT event_id, lag(value, 1, -1.0) OVER w AS before, lead(value, 3) OVER w AS ahead FROM events WINDOW w AS (ORDER BY ts, event_id)""")
+def lag_of_all(t: Tables):
+    """One sequence of all events, without a partition."""
+    e = windows.lagged(t.events, "value", ["ts", "event_id"], 1, -1.0, name="before")
+    return windows.lagged(e, "value", ["ts", "event_id"], -3, None, name="ahead").select("event_id", "before", "ahead")
+
+
+@query("""
+WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS r, count(*) OVER () AS n FROM events)
+SELECT a.event_id, b.value AS lagged FROM r a JOIN r b ON (b.r + 2) % b.n = a.r""")
+def circular_of_all(t: Tables):
+    return windows.lagged_circular(t.events, "value", ["ts", "event_id"], 2).select("event_id", "lagged")
+
+
+@query("""
+SELECT event_id, array_to_string(w, ',') AS ids FROM (SELECT event_id, list(event_id) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS w FROM events) WHERE len(w) = 4""")
+def sliding_of_all(t: Tables):
+    e = t.events.withColumn("id", F.col("event_id").cast("string"))
+    return windows.sliding(e, "id", ["ts", "event_id"], 4).select("event_id", F.array_join("window", ",").alias("ids"))
+
+
+@query(r"""
+SELECT conv_id, turn, len(p) AS n_parts, md5(array_to_string(p, '|')) AS digest FROM (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '[.?!][^A-Za-z0-9_]+', chr(1) || '\0' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM conversations)""")
+def sentence_parts(t: Tables):
+    p = tokens.sentences(F.col("text"), keep=True)
+    return t.conversations.select("conv_id", "turn", F.size(p).cast("bigint").alias("n_parts"), F.md5(F.array_join(p, "|")).alias("digest"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_quantity >= 25 THEN 'many' ELSE 'few' END AS label FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 40""")
+def classified_lines(t: Tables):
+    """A tree of one split, applied to every line within bounds."""
+    node = tree.Node("l_quantity", 25.0, True, yes=tree.Node(results={"many": 2}), no=tree.Node(results={"few": 1}))
+    rows = windows.clipped(t.lineitem, "l_quantity", 10.0, 40.0)
+    return rows.select("l_orderkey", "l_linenumber", "l_returnflag", tree.classified(node).alias("label"))
+
+
+@query("""
+SELECT doc_id, len(regexp_extract_all(text, '(?m)^#{1,6} '))::INTEGER AS headings, len(regexp_extract_all(text, '(?m)^[ \t]*[-*+] '))::INTEGER AS items, len(regexp_extract_all(text, '`[^`]+`'))::INTEGER AS code FROM documents""")
+def markdown_counts(t: Tables):
+    m = aggregates.markdown_stats(F.col("text"))
+    return t.documents.select("doc_id", m["headings"].alias("headings"), m["items"].alias("items"), m["code"].alias("code"))

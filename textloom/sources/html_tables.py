@@ -90,3 +90,18 @@ def exploded_column(rows: DataFrame, key: int = 1, value: int = 2) -> DataFrame:
     """One row for each string in a cell of several, with another cell: such as icons and their meaning. Cells count from 1."""
     body = rows.where("not header").select("page_id", "table_num", F.try_element_at("cells", F.lit(key)).alias("k"), F.try_element_at("cells", F.lit(value)).alias("meaning"))
     return body.select("page_id", "table_num", F.explode(F.split(F.trim("k"), r"\s+")).alias("icon"), "meaning").where("icon <> ''")
+
+
+def as_table(rows: DataFrame, page_id: int, table_num: int = 0, header: bool = True) -> DataFrame:
+    """One table of one page (rows of html_tables) as a table: columns named by its header row, or else by its first row.
+
+    Cells that a row lacks are null, those beyond the header go, and names that come twice get a number. header False: columns c0, c1, ..."""
+    own = rows.where((F.col("page_id") == page_id) & (F.col("table_num") == table_num))
+    top = own.orderBy(F.desc("header"), "row_num").limit(1).collect() if header else []
+    width = own.agg(F.max(F.size("cells"))).first()[0] or 0
+    names: list[str] = []
+    for i, name in enumerate(top[0].cells if top else [f"c{i}" for i in range(width)]):
+        base = name or f"c{i}"
+        names.append(base if base not in names else f"{base}_{i}")
+    body = own.where(F.col("row_num") != top[0].row_num) if top else own
+    return body.orderBy("row_num").select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])

@@ -76,3 +76,8 @@ def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complet
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what there is now, appending Parquet files."""
     df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_batches(df: DataFrame, handle, checkpoint: str) -> None:
+    """Run a stream over what there is now: handle(batch, batch_id) gets each micro-batch as a table. A batch may come again after a failure, with its id."""
+    df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
