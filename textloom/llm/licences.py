@@ -1,8 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with licence templates.
 
 A block is a line of a text, or if paragraphs are asked for also one: a run of lines that all have
-tokens (so lines of comment marks alone end it). A paragraph is reported by its
-first line, for the templates that none of its lines matches alone. Tokens are the distinct ``[a-z0-9]+`` of the
+tokens (so lines of comment marks alone end it). In a paragraph the match is the
+run of lines, of at most twice the template's words, that shares most with it (of
+equals that of the fewest words, then the first); it is reported by that run's
+first line, for the templates that none of the paragraph's lines matches alone.
+Tokens are the distinct ``[a-z0-9]+`` of the
 lower-cased block or template. A block matches a template if it holds at least
 the share threshold of the template's tokens; every such pair is found.
 
@@ -114,7 +117,9 @@ class Index:
 
     def __init__(self, templates: dict[str, str], frequency: dict[str, int], threshold: float):
         self.names = list(templates)
-        sets = [tokens(t) for t in templates.values()]
+        sets = self.sets = [tokens(t) for t in templates.values()]
+        #: The most words of a run of lines that is a match.
+        self.most = [2 * len(TOKEN.findall(t.lower())) for t in templates.values()]
         vocabulary = sorted({t for s in sets for t in s}, key=lambda t: (frequency.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(vocabulary)}
         self.ordered = [sorted(self.rank[t] for t in s) for s in sets]
@@ -147,6 +152,20 @@ class Index:
         return sorted(found)
 
 
+def closest_run(lines: list[list[str]], want: set[str], most: int) -> tuple[int, int]:
+    """Of the runs of lines (lists of words) of at most so many words, how many of want the best one holds, and its first line."""
+    best = (0, 0, 0)
+    for a in range(len(lines)):
+        words, held = 0, set()
+        for own in lines[a:]:
+            words += len(own)
+            if words > most:
+                break
+            held |= want.intersection(own)
+            best = max(best, (len(held), -words, -a))
+    return best[0], -best[2]
+
+
 def block_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many blocks of the corpus each token occurs."""
     hashed = hashes_of(vocabulary)
@@ -195,10 +214,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 def add(line: int, last: int, a=a, blocks=blocks, found=found):
                     held = sorted(r for r in (index.rank.get(t) for t in tokens(blocks.text(line, last))) if r is not None)
                     for k, overlap in index.matches(held):
-                        if last > line and any((x, k) in found for x in range(line, last + 1)):
-                            continue
-                        found.add((line, k))
-                        for name, value in zip(out, (ids[a + blocks.line_doc[line]], int(blocks.line_no[line]), index.names[k], overlap, round(overlap / len(index.ordered[k]), 6)), strict=True):
+                        at = line
+                        if last > line:
+                            if any((x, k) in found for x in range(line, last + 1)):
+                                continue
+                            overlap, first = closest_run([TOKEN.findall(blocks.text(x).lower()) for x in range(line, last + 1)], set(index.sets[k]), index.most[k])
+                            if overlap < index.need[k]:
+                                continue
+                            at += first
+                        found.add((at, k))
+                        for name, value in zip(out, (ids[a + blocks.line_doc[at]], int(blocks.line_no[at]), index.names[k], overlap, round(overlap / len(index.ordered[k]), 6)), strict=True):
                             out[name].append(value)
 
                 for line in candidates(blocks.line, blocks.token, len(blocks.line_ends)):
