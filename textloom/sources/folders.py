@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_textloom_dir", None)
     if at is None:
         at = sc._textloom_dir = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
