@@ -89,6 +89,17 @@ def test_documents_come_once_for_each_copy(spark, clashing, awkward):
     assert ids[5] == 2 and ids[6] == 4 and ids[None] == 2 and not {1, 2, 3, 4} & set(ids)
 
 
+def test_many_sources(spark, frame):
+    rows = [(i, "a b c d") for i in range(400)]
+    sources = [(f"s{k}", f"doc_id % 40 = {k}", 1 / 40) for k in range(40)]
+    got = M.mix(frame(rows), sources, budget=0.5).collect()
+    tokens = Counter()
+    for r in got:
+        assert r.mix_source == f"s{r.doc_id % 40}"
+        tokens[r.mix_source] += r.n_tokens
+    assert set(tokens.values()) == {20} and len(tokens) == 40
+
+
 def test_null_predicates_and_empty_tables(spark, frame):
     assert M.mix(frame([])).count() == 0
     assert M.mix(frame([(1, None), (2, "")])).count() == 0

@@ -181,7 +181,7 @@ def plan_mix(marked: DataFrame, weights: list[float], budget: float, max_copies:
             split.setdefault((p, inside), []).append(t)
     fine: dict[tuple[int, int], dict[int, int]] = {}
     if split:
-        wanted = marked.sparkSession.createDataFrame([(p, r) for p, r in split], "pattern int, range bigint")
+        wanted = marked.sparkSession.createDataFrame([(p, r) for p, r in split], "pattern bigint, range bigint")
         within = useful.withColumn("range", F.shiftright("place", LEVEL_BITS)).join(F.broadcast(wanted), ["pattern", "range"])
         for r in within.groupBy("pattern", "range", (F.col("place") % size).alias("sub")).agg(F.sum("n_tokens").alias("n")).collect():
             fine.setdefault((r.pattern, r.range), {})[r.sub] = r.n
@@ -198,8 +198,10 @@ def plan_mix(marked: DataFrame, weights: list[float], budget: float, max_copies:
 
 def marks(docs: DataFrame, sources: list[tuple[str, str, float]], seed: int, id_col: str, text_col: str) -> DataFrame:
     """docs under positional names, with pattern and place in front."""
-    bits = [F.when(F.coalesce(F.expr(predicate).cast("boolean"), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, predicate, _) in enumerate(sources)]
-    pattern = F.lit(0)
+    if len(sources) > 62:
+        raise ValueError("62 sources at most")
+    bits = [F.when(F.coalesce(F.expr(predicate).cast("boolean"), F.lit(False)), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, (_, predicate, _) in enumerate(sources)]
+    pattern = F.lit(0).cast("bigint")
     for b in bits:
         pattern = pattern + b
     # Predicates see the columns by name (the first of those that differ by case only); what is kept has positional names.
@@ -214,7 +216,7 @@ def marks(docs: DataFrame, sources: list[tuple[str, str, float]], seed: int, id_
     hashed = F.xxhash64(F.lit(seed), place(docs, id_col), place(docs, text_col))
     named = inner.select(F.struct(hashed.alias("hash"), *kept).alias(inside), *[F.col(f"in_{i}").alias(docs.columns[i]) for i in first.values()])
     within = lambda c: F.col(f"{inside}.{c}")
-    return named.select(pattern.cast("int").alias("pattern"), within("hash").bitwiseAND((1 << 2 * LEVEL_BITS) - 1).alias("place"), *[within(c).alias(c) for c in kept])
+    return named.select(pattern.alias("pattern"), within("hash").bitwiseAND((1 << 2 * LEVEL_BITS) - 1).alias("place"), *[within(c).alias(c) for c in kept])
 
 
 def _selected(docs: DataFrame, sources, budget, max_copies, seed, id_col, text_col) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +225,7 @@ def _selected(docs: DataFrame, sources, budget, max_copies, seed, id_col, text_c
     plan = plan_mix(narrow, [w for _, _, w in sources], budget, max_copies)
     rows = [(s.pattern, s.copy, s.low, s.high, sources[s.source][0]) for s in plan]
     # A few rows for each pattern.
-    table = F.broadcast(docs.sparkSession.createDataFrame(rows, "for_pattern int, copy int, low bigint, high bigint, mix_source string"))
+    table = F.broadcast(docs.sparkSession.createDataFrame(rows, "for_pattern bigint, copy int, low bigint, high bigint, mix_source string"))
     return narrow, table
 
 
