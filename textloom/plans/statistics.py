@@ -204,31 +204,78 @@ def event_windows_daily(t: Tables):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""
+SESSIONS = """
 WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOURS THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3 HOURS AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""")
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3 HOURS AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s"""
+
+
+@query(SESSIONS)
 def user_sessions(t: Tables):
     s = event_windows.sessions(t.events)
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
 
 
-@query("""
-SELECT w AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w, event_type, value FROM events) GROUP BY ALL""")
+SLIDING = """
+SELECT w AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w, event_type, value FROM events) GROUP BY ALL"""
+
+
+@query(SLIDING)
 def event_windows_sliding(t: Tables):
     w = event_windows.sliding(t.events)
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""
-SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
-def streamed_daily(t: Tables):
-    """The daily windows by a stream that reads the table and ends."""
+def _streamed(t: Tables, build, mode: str):
+    """What a stream that reads the events and ends leaves in a table. build: from a stream to a stream."""
     import uuid
 
     from ..sources.folders import shared_folder
 
     name = f"streamed_{uuid.uuid4().hex}"
     events = event_windows.stream(t.spark, f"{t.folder}/event[s].parquet")  # a pattern, as the table may be a single file
-    w = event_windows.run_to_table(event_windows.tumbling(events), name, f"{shared_folder(t.spark)}/{name}")
-    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return event_windows.run_to_table(build(events), name, f"{shared_folder(t.spark)}/{name}", mode)
+
+
+DAILY = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+def _rounded(w, *keys: str):
+    return w.select(*[F.col(k).cast("timestamp_ntz").alias(k) if k in ("start", "end") else F.col(k) for k in keys], "n", F.round("total", 4).alias("total"))
+
+
+@query(DAILY)
+def streamed_daily(t: Tables):
+    """The daily windows by a stream."""
+    return _rounded(_streamed(t, event_windows.tumbling, "complete"), "start", "event_type")
+
+
+@query(SLIDING)
+def streamed_sliding(t: Tables):
+    """Windows of two days, one a day, by a stream."""
+    return _rounded(_streamed(t, event_windows.sliding, "complete"), "start", "event_type")
+
+
+@query(SESSIONS)
+def streamed_sessions(t: Tables):
+    """Sessions of each user by a stream."""
+    return _rounded(_streamed(t, event_windows.sessions, "complete"), "start", "end", "user_id")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def streamed_distinct(t: Tables):
+    """Users and event types without repeats: within the watermark by the stream, and of those that came again later."""
+    return _streamed(t, lambda e: event_windows.deduplicated(e, "user_id", "event_type"), "append").select("user_id", "event_type").distinct()
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def streamed_counts(t: Tables):
+    """Running counts kept as the stream's own state; the last of each type."""
+    return _streamed(t, lambda e: event_windows.running_counts(e.select("event_type"), "event_type"), "update").groupBy("event_type").agg(F.max("n").alias("n"))
+
+
+@query("SELECT a.event_id AS first, b.event_id AS second FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTES")
+def streamed_pairs(t: Tables):
+    """Events of a user within ten minutes: a stream joined with a table."""
+    pairs = _streamed(t, lambda e: event_windows.joined(e, t.events, "user_id", "10 minutes").select(F.col("a.event_id").alias("first"), F.col("b.event_id").alias("second")), "append")
+    return pairs.select("first", "second")
