@@ -81,6 +81,16 @@ def ngram_structs(items: Column, n: int = 2) -> Column:
     return F.when(F.size(items) >= n, zipped(items)).otherwise(F.expr("array()")).cast(f"array<struct<{kind}>>")
 
 
+def ngram_hashes(items: Column, n: int = 2) -> Column:
+    """Two independent hashes (96 bits together) of each run of n tokens, as structs a, b: all that a join of runs needs."""
+
+    def hashed(v: Column, i: Column) -> Column:
+        words = [F.get(v, i + (k - 1)) for k in range(n)]
+        return F.struct(F.xxhash64(*words).alias("a"), F.hash(*words).alias("b"))
+
+    return _runs(items, F.size, n, hashed, "struct<a: bigint, b: int>")
+
+
 def ngram_range(items: Column, most: int, least: int = 1, separator: str = " ") -> Column:
     """All n-grams of n from least to most, the shortest first."""
     return let(items, lambda v: F.flatten(F.array(*[ngrams(v, n, separator) for n in range(least, most + 1)])))

@@ -59,10 +59,10 @@ b AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3),
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id""")
 def kmer_overlap_benchmark(t: Tables):
     """Runs of five words that documents share with benchmark items."""
-    grams = lambda c: F.explode(tokens.ngram_structs(tokens.ascii_words(F.col(c)), 5)).alias("g")
+    grams = lambda d, *k: d.select(*k, F.explode(tokens.ngram_hashes(tokens.ascii_words(F.col("text")), 5)).alias("g"))
     # Most runs of the documents have no partner, so they are made distinct after the join. Spark broadcasts the
     # benchmark's side if its size allows.
-    found = t.documents.select("doc_id", grams("text")).join(t.benchmark.select("item_id", grams("text")).distinct(), "g")
+    found = grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id").distinct(), "g")
     return found.distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
