@@ -2,6 +2,15 @@ from __future__ import annotations
 
 import pytest
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """The corpus operators shuffle often and these tables are small."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
