@@ -43,6 +43,35 @@ def test_triangle_bounds_prune(monkeypatch):
     assert compared < 0.5 * 4000 * 4000 / 2
 
 
+@pytest.mark.parametrize("radius", [3, 64, 100])
+@pytest.mark.parametrize("edge", [None, 400])
+def test_buckets_find_all_pairs_once(monkeypatch, radius, edge):
+    """Pairs at every distance around the radius: each is found by one block, within groups and between them."""
+    monkeypatch.setattr(S, "LEAST_BITS", 5)
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, (500, 4), dtype=np.uint64)
+    copies = base.copy()
+    for k in range(500):  # k % 80 + radius - 40 bits differ
+        copies[k] ^= np.packbits(np.isin(np.arange(256), rng.choice(256, max(0, k % 80 + radius - 40), replace=False))).view(np.uint64)
+    fp = np.concatenate([base, copies])
+    d = np.bitwise_count(fp[:, None] ^ fp).sum(2)
+    left, right = (np.arange(1000), None) if edge is None else (np.arange(edge), np.arange(edge, 1000))
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(d <= radius)), strict=True) if i < j and (edge is None or i < edge <= j)}
+    blocks = S.bit_blocks(1000, radius)
+    assert sum(t + 1 for *_, t in blocks) == radius + 1 and sum(w for _, w, _ in blocks) == 256
+    got = [tuple(sorted(p)) for b in range(len(blocks)) for part in range(3) for i, j in S.bucket_pairs(fp, left, right, radius, b, blocks, part, 3) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert set(got) == want and len(got) == len(want) > 100
+    strips = [tuple(sorted(p)) for part in range(3) for i, j in S.strip_pairs(fp, left, right, radius, part, 3) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert set(strips) == want and len(strips) == len(want)
+
+
+def test_large_cells_compare_a_fifth_of_all_pairs():
+    """At the query's radius, by codes that are spread evenly."""
+    ball = lambda width, t: np.count_nonzero(np.bitwise_count(np.arange(1 << width)) <= t) / (1 << width)
+    shares = [sum(ball(w, t) for _, w, t in S.bit_blocks(n, S.RADIUS)) for n in (1 << 18, S.GROUP * 2)]
+    assert shares[0] < 0.4 and shares[1] < 0.22
+
+
 def brute(rows):
     """Groups by the definition: near pairs of fingerprints, then connected components."""
     texts = [t for i, t in rows if i is not None]

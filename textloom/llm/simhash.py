@@ -9,7 +9,11 @@ as RADIUS allows.
 
 Every such pair is found. Fingerprints are cut into groups by hash, and every
 pair of groups is a cell of its own, so no task depends on the number of
-documents. In a cell a vantage-point tree splits both sides at the median
+documents. A cell reads its groups from the shared folder. In a large cell
+the bits are cut into blocks with thresholds: fingerprints within RADIUS are
+within the threshold of some block, so for each block only buckets of codes that
+differ in at most its threshold are compared, and a pair counts for the first
+such block only. What is compared goes through a vantage-point tree, which splits both sides at the median
 distance (of all bits) from a vantage point; by the triangle inequality only
 points within the radius of the boundary can have partners beyond it, and just
 these are compared across it. A node is split only where that saves work.
@@ -39,12 +43,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexical
-from .frames import broadcast_checked, narrow, per_batch, place, positional, settled, summed_arrays
+from .frames import broadcast_checked, narrow, new_folder, per_batch, place, positional, settled, stored_row, summed_arrays
 
 BITS, BUCKETS, SEED = 256, 1 << 16, 11
 RADIUS = 64
-#: Fingerprints of one side of a cell.
-GROUP = 32_768
+#: Fingerprints of one side of a cell at most.
+GROUP = 1 << 20
+#: Fingerprints a bucket, and the fewest bits of a code; with fewer fingerprints a cell has no buckets.
+BUCKET, LEAST_BITS = 24, 12
+#: Pairs of a unit of work of a cell.
+UNIT_PAIRS = 1 << 29
 
 
 def feature_buckets(texts: lexical.Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +141,8 @@ class Near:
         for p, q in zip(x[: max(1, len(x) - 1)], y, strict=False):  # 192 bits fit a byte
             np.bitwise_xor(p, q, out=both)
             d = np.bitwise_count(both) if d is None else np.add(d, np.bitwise_count(both), out=d)
-        at = np.flatnonzero(d <= self.radius)
+        # The minimum costs far less than the places, and mostly there are none.
+        at = np.flatnonzero(d <= self.radius) if d.min() <= self.radius else np.zeros(0, np.int64)
         u, v = at // len(y[0]), at % len(y[0])
         if len(at) and len(x) > 1:  # what is left of the bits decides for these few
             near = d.ravel()[at] + np.bitwise_count(x[-1][u, 0] ^ y[-1][v]).astype(np.int64) <= self.radius
@@ -178,6 +187,70 @@ def vantage_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, ra
                 yield left[i], other[j]
 
 
+def bit_blocks(n: int, radius: int, bits: int = BITS) -> list[tuple[int, int, int]]:
+    """First bit, width and threshold of blocks: fingerprints that differ in at most radius bits differ
+    in at most the threshold of some block. None where n fingerprints are too few for buckets by a block's bits.
+
+    If all blocks differed in more than their thresholds, it would be in the sum of (threshold + 1) = radius + 1 bits."""
+    width = int(np.log2(max(1, n / BUCKET)))
+    if width < LEAST_BITS:
+        return []
+    many = bits // width
+    cuts = [bits * k // many for k in range(many + 1)]
+    widths = np.diff(cuts)
+    more = np.argsort(-widths, kind="stable")[: (radius + 1) % many]  # the widest blocks get the higher threshold
+    t = np.full(many, (radius + 1) // many - 1)
+    t[more] += 1
+    return list(zip(cuts[:-1], widths.tolist(), t.tolist(), strict=True))
+
+
+def codes(fp: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The bits of a block of every fingerprint (rows of words)."""
+    word, at = divmod(first, 64)
+    own = fp[:, word] >> np.uint64(at)
+    if at + width > 64:
+        own = own | (fp[:, word + 1] << np.uint64(64 - at))
+    return (own & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def bucket_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, block: int, blocks: list[tuple[int, int, int]], part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of vantage_pairs for which this is the first of the blocks that is within its threshold.
+
+    Only buckets whose codes are within it are compared, by their vantage-point trees. Of left's buckets, one of parts."""
+    first, width, most = blocks[block]
+    if most < 0:
+        return
+    masks = np.arange(1 << width)
+    masks = masks[np.bitwise_count(masks) <= most]
+
+    def sorted_by(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = codes(fp[places], first, width)
+        by = np.argsort(code, kind="stable")
+        return places[by], np.searchsorted(code[by], np.arange((1 << width) + 1))
+
+    own = right is None
+    left, begin = sorted_by(left)
+    other, start = (left, begin) if own else sorted_by(right)
+    places = left if own else np.concatenate([left, other])
+    fp, shift = fp[places], 0 if own else len(left)  # buckets lie together
+    for u in range(part, 1 << width, parts):
+        here = np.arange(begin[u], begin[u + 1])
+        if not len(here):
+            continue
+        v = u ^ masks
+        if own:
+            v = v[v > u]
+        there = lexical.ragged(start[v] + shift, start[v + 1] - start[v])
+        for some in (vantage_pairs(fp, here, None, radius) if own else (), vantage_pairs(fp, here, there, radius)):
+            for i, j in some:
+                d = fp[i] ^ fp[j]
+                before = np.zeros(len(i), bool)
+                for at, bits, t in blocks[:block]:
+                    before |= np.bitwise_count(codes(d, at, bits)) <= t
+                if not before.all():
+                    yield places[i[~before]], places[j[~before]]
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The lowest place in the component of each of n places, given edges a-b."""
     label = np.arange(n)
@@ -194,9 +267,9 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all near pairs, and in how many pairs each place is."""
-    n, a, b, held = len(fp), [], [], 0
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of near pairs of n places, and in how many pairs each place is."""
+    a, b, held = [], [], 0
     links = np.zeros(n, np.int64)
 
     def reduced():
@@ -206,7 +279,7 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: i
         i = np.flatnonzero(r != np.arange(n))
         return i, r[i]
 
-    for i, j in vantage_pairs(fp, left, right, radius):
+    for i, j in pairs:
         a.append(i)
         b.append(j)
         held += len(i)
@@ -218,35 +291,88 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: i
     return *reduced(), links
 
 
-def near_edges(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """Of fps (rep, fp; distinct fingerprints): rows u, v of edges that connect all near pairs, and
-    rows u, links of how many near pairs of a cell u is in."""
-    groups = max(1, -(-fps.count() // group))
+def stored_groups(fps: DataFrame, groups: int) -> str:
+    """A folder with the fingerprints of each group by hash, which all executors read."""
 
     def make():
         def step(columns):
             n = len(columns[0])
             fp = np.frombuffer(b"".join(columns[1].to_pylist()), np.uint64).reshape(n, -1)
-            at, i, j = np.repeat(np.arange(n), groups), np.repeat((fp[:, -1] % np.uint64(groups)).astype(np.int64), groups), np.tile(np.arange(groups), n)
-            take = pa.array(at)
-            yield {"cell": np.minimum(i, j) * groups + np.maximum(i, j), "side": (j < i).astype(np.int32), "rep": columns[0].take(take), "fp": columns[1].take(take)}
+            yield {"part": (fp[:, -1] % np.uint64(groups)).astype(np.int64), "rep": columns[0], "fp": columns[1]}
 
         return step
 
-    def joined(table: pa.Table) -> pa.Table:
+    def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")  # the order of arrival doesn't matter
-        rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
-        fp = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(rep), -1)
-        i, j = divmod(table["cell"][0].as_py(), groups)
-        everything = np.arange(len(rep))
-        left, right = (everything, None) if i == j else (everything[side == 0], everything[side == 1])
-        x, y, links = forest(fp, left, right, radius)
-        some = np.flatnonzero(links)
-        none = np.zeros(len(some), bool)
-        return pa.table({"u": np.concatenate([rep[x], rep[some]]).astype(np.int64), "v": pa.array(np.concatenate([rep[y], rep[some]]).astype(np.int64), mask=np.concatenate([np.zeros(len(y), bool), ~none])), "links": np.concatenate([np.zeros(len(x), np.int64), links[some]])})
-
-    cells = per_batch(fps.select("rep", "fp"), make, "cell bigint, side int, rep bigint, fp binary")
-    return cells.groupBy("cell").applyInArrow(joined, "u bigint, v bigint, links bigint")
+        rep = table["rep"].to_numpy().astype(np.int64)
+        fp = b"".join(table["fp"].to_pylist())
+        return pa.table({"part": table["part"].slice(0, 1).combine_chunks(), "rep": pa.array([rep.tobytes()], pa.binary()), "fp": pa.array([fp], pa.binary())})
+
+    at = new_folder(fps.sparkSession, "fingerprints")
+    parted = per_batch(fps.select("rep", "fp"), make, "part bigint, rep bigint, fp binary")
+    parted.groupBy("part").applyInArrow(one, "part bigint, rep binary, fp binary").write.partitionBy("part").parquet(at)
+    return at
+
+
+def near_edges(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """Of fps (rep, fp; distinct fingerprints): rows u, v of edges that connect all near pairs, and
+    rows u, links of how many near pairs of a unit of work u is in."""
+    n = fps.count()
+    groups = max(1, -(-n // group))
+    at, size = stored_groups(fps, groups), n / groups
+    stored_at = {r.part for r in fps.sparkSession.read.parquet(at).select("part").collect()} if n else set()
+    blocks = bit_blocks(int(size), radius)
+    parts = max(1, min(1024, int(size * size / (UNIT_PAIRS if not blocks else UNIT_PAIRS * 64))))
+    a_cell = parts * max(1, len(blocks))
+    cells = [(i, j) for i in sorted(stored_at) for j in sorted(stored_at) if i <= j]
+
+    def make():
+        held: dict = {}
+
+        def loaded(k: int) -> tuple[np.ndarray, np.ndarray]:
+            row = stored_row(at, "part", k)
+            rep = np.frombuffer(row["rep"], np.int64)
+            return rep, np.frombuffer(row["fp"], np.uint64).reshape(len(rep), -1)
+
+        def step(columns):
+            for unit in columns[0].to_pylist():
+                cell, rest = divmod(unit, a_cell)
+                i, j = cells[cell]
+                if held.get("cell") != cell:
+                    held.clear()
+                    held.update(cell=cell, both=[loaded(k) for k in ((i,) if i == j else (i, j))])
+                rep, fp = (np.concatenate(x) if i != j else x[0] for x in zip(*held["both"], strict=True))
+                everything, edge = np.arange(len(rep)), len(held["both"][0][0])
+                left, right = (everything, None) if i == j else (everything[:edge], everything[edge:])
+                block, part = divmod(rest, parts)
+                if blocks:
+                    pairs = bucket_pairs(fp, left, right, radius, block, blocks, part, parts)
+                else:
+                    pairs = strip_pairs(fp, left, right, radius, part, parts)
+                x, y, links = forest(len(rep), pairs)
+                some = np.flatnonzero(links)
+                own = np.repeat([False, True], [len(y), len(some)])
+                yield {"u": np.concatenate([rep[x], rep[some]]), "v": pa.array(np.concatenate([rep[y], rep[some]]), mask=own), "links": np.concatenate([np.zeros(len(x), np.int64), links[some]])}
+
+        return step
+
+    many = len(cells) * a_cell
+    units = fps.sparkSession.range(0, many, 1, max(1, min(many, 4096)))
+    return per_batch(units, make, "u bigint, v bigint, links bigint")
+
+
+def strip_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of vantage_pairs of one of parts of left; all parts give each pair once."""
+    if parts == 1:
+        yield from vantage_pairs(fp, left, right, radius)
+        return
+    strip = left[part::parts]
+    if right is None:
+        yield from vantage_pairs(fp, strip, None, radius)
+        for more in range(part + 1, parts):
+            yield from vantage_pairs(fp, strip, left[more::parts], radius)
+    else:
+        yield from vantage_pairs(fp, strip, right, radius)
 
 
 def components(edges: DataFrame) -> DataFrame:
