@@ -12,8 +12,8 @@ pair of groups is a cell of its own, so no task depends on the number of
 documents. A cell reads its groups from the shared folder. In a large cell
 the bits are cut into blocks with thresholds: fingerprints within RADIUS are
 within the threshold of some block, so for each block only buckets of codes that
-differ in at most its threshold are compared, and a pair counts for the first
-such block only. What is compared goes through a vantage-point tree, which splits both sides at the median
+differ in at most its threshold are compared, at first in the block and those
+after it (see chain), and a pair counts for the first such block only. What is compared goes through a vantage-point tree, which splits both sides at the median
 distance (of all bits) from a vantage point; by the triangle inequality only
 points within the radius of the boundary can have partners beyond it, and just
 these are compared across it. A node is split only where that saves work.
@@ -191,7 +191,8 @@ def bit_blocks(n: int, radius: int, bits: int = BITS) -> list[tuple[int, int, in
     """First bit, width and threshold of blocks: fingerprints that differ in at most radius bits differ
     in at most the threshold of some block. None where n fingerprints are too few for buckets by a block's bits.
 
-    If all blocks differed in more than their thresholds, it would be in the sum of (threshold + 1) = radius + 1 bits."""
+    If all blocks differed in more than their thresholds, it would be in the sum of (threshold + 1) = radius + 1 bits.
+    chain makes more of that."""
     width = int(np.log2(max(1, n / BUCKET)))
     if width < LEAST_BITS:
         return []
@@ -205,18 +206,29 @@ def bit_blocks(n: int, radius: int, bits: int = BITS) -> list[tuple[int, int, in
 
 
 def codes(fp: np.ndarray, first: int, width: int) -> np.ndarray:
-    """The bits of a block of every fingerprint (rows of words)."""
+    """At most 64 bits of every fingerprint (rows of words) from the first on, around the end."""
     word, at = divmod(first, 64)
     own = fp[:, word] >> np.uint64(at)
     if at + width > 64:
-        own = own | (fp[:, word + 1] << np.uint64(64 - at))
-    return (own & np.uint64((1 << width) - 1)).astype(np.int64)
+        own = own | (fp[:, (word + 1) % fp.shape[1]] << np.uint64(64 - at))
+    return own & np.uint64((1 << width) - 1)
+
+
+def chain(blocks: list[tuple[int, int, int]], block: int) -> tuple[int, int, int]:
+    """First bit, width and threshold of a block and as many that follow it in a ring as fit a word.
+
+    The sums of (difference - threshold - 1) over all blocks are negative, so from some block on, around the ring,
+    all of their partial sums are: of that block and of its chain alike."""
+    many = min(len(blocks), 64 // max(w for _, w, _ in blocks))
+    own = [blocks[(block + k) % len(blocks)] for k in range(many)]
+    return own[0][0], sum(w for _, w, _ in own), sum(t + 1 for *_, t in own) - 1
 
 
 def bucket_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, block: int, blocks: list[tuple[int, int, int]], part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of vantage_pairs for which this is the first of the blocks that is within its threshold.
+    """The pairs of vantage_pairs for which this is the first of the blocks that is within its threshold with its chain.
 
-    Only buckets whose codes are within it are compared, by their vantage-point trees. Of left's buckets, one of parts."""
+    Only buckets whose codes are within it are compared, by vantage-point trees over the chain's bits; all bits
+    decide for what is found. Of left's buckets, one of parts."""
     first, width, most = blocks[block]
     if most < 0:
         return
@@ -224,7 +236,7 @@ def bucket_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, rad
     masks = masks[np.bitwise_count(masks) <= most]
 
     def sorted_by(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = codes(fp[places], first, width)
+        code = codes(fp[places], first, width).astype(np.int64)
         by = np.argsort(code, kind="stable")
         return places[by], np.searchsorted(code[by], np.arange((1 << width) + 1))
 
@@ -233,6 +245,22 @@ def bucket_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, rad
     other, start = (left, begin) if own else sorted_by(right)
     places = left if own else np.concatenate([left, other])
     fp, shift = fp[places], 0 if own else len(left)  # buckets lie together
+    at, bits, bound = chain(blocks, block)
+    if bound < 0:
+        return
+    words, held, many = codes(fp, at, bits), [], 0
+
+    def decided() -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        d = fp[i] ^ fp[j]
+        near = np.bitwise_count(d).sum(1, dtype=np.int64) <= radius
+        i, j, d = i[near], j[near], d[near]
+        before = np.zeros(len(i), bool)
+        for k in range(block):
+            within = [np.bitwise_count(codes(d, a, w)) <= t for a, w, t in (blocks[k], chain(blocks, k))]
+            before |= within[0] & within[1]
+        return places[i[~before]], places[j[~before]]
+
     for u in range(part, 1 << width, parts):
         here = np.arange(begin[u], begin[u + 1])
         if not len(here):
@@ -241,14 +269,15 @@ def bucket_pairs(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, rad
         if own:
             v = v[v > u]
         there = lexical.ragged(start[v] + shift, start[v + 1] - start[v])
-        for some in (vantage_pairs(fp, here, None, radius) if own else (), vantage_pairs(fp, here, there, radius)):
+        for some in (vantage_pairs(words, here, None, bound) if own else (), vantage_pairs(words, here, there, bound)):
             for i, j in some:
-                d = fp[i] ^ fp[j]
-                before = np.zeros(len(i), bool)
-                for at, bits, t in blocks[:block]:
-                    before |= np.bitwise_count(codes(d, at, bits)) <= t
-                if not before.all():
-                    yield places[i[~before]], places[j[~before]]
+                held.append((i, j))
+                many += len(i)
+                if many > 100_000:
+                    yield decided()
+                    held, many = [], 0
+    if held:
+        yield decided()
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,7 +351,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
     at, size = stored_groups(fps, groups), n / groups
     stored_at = {r.part for r in fps.sparkSession.read.parquet(at).select("part").collect()} if n else set()
     blocks = bit_blocks(int(size), radius)
-    parts = max(1, min(1024, int(size * size / (UNIT_PAIRS if not blocks else UNIT_PAIRS * 64))))
+    parts = max(1, min(1024, int(size * size / (UNIT_PAIRS if not blocks else UNIT_PAIRS * 128))))
     a_cell = parts * max(1, len(blocks))
     cells = [(i, j) for i in sorted(stored_at) for j in sorted(stored_at) if i <= j]
 
