@@ -156,3 +156,12 @@ def test_ties_are_kept(spark, frame, labels_at):
     """Without trusted documents every score is 0.0, and with labels of one class every probability is 1.0."""
     rows = [(i, f"some words of text number {i} and more") for i in range(20)]
     assert corpus_pipeline.rules(spark, frame(rows), labels_at([(3, 0, 0)])).count() == 20
+
+
+def test_packing_asks_for_every_word(spark, frame, small):
+    """Words that would fill a query of 1,024 postings at once decide, too."""
+    rng = np.random.default_rng(9)
+    rows = [(i, t + " " + " ".join(rng.choice([f"f{k}" for k in range(40)], 12))) for i, t in test_packing.corpus(400, 5)]
+    want = test_packing.brute(rows, packing.WINDOW, 10**9)
+    assert want != test_packing.brute(rows, packing.WINDOW, 1024)
+    assert sorted(test_packing.windows(corpus_pipeline.windows(spark, frame(rows).coalesce(1), small))) == want
