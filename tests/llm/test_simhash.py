@@ -120,6 +120,16 @@ def test_groups_are_those_of_brute_force(spark, frame):
     assert {r.doc_id: r.duplicate_of for r in S.groups_of(frame(rows), group=20).collect()} == got
 
 
+@pytest.mark.parametrize("group", [10_000, 90])
+def test_groups_by_buckets_are_those_of_brute_force(spark, frame, monkeypatch, group):
+    """Cells with buckets, within groups and between them."""
+    rows = corpus(80, 7)
+    plain = {r.doc_id: (r.duplicate_of, r.n_links) for r in S.groups_of(frame(rows)).collect()}
+    monkeypatch.setattr(S, "LEAST_BITS", 1)
+    assert {r.doc_id: (r.duplicate_of, r.n_links) for r in S.groups_of(frame(rows), group=group).collect()} == plain
+    assert {i: root for i, (root, _) in plain.items()} == brute(rows)
+
+
 @pytest.mark.parametrize("group", [10_000, 25])
 def test_links_are_counted_over_all_cells(spark, frame, group):
     rows = corpus(60, 4)
