@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from textloom import plans
 
 DAY = dt.datetime(2024, 1, 1)
@@ -44,3 +46,24 @@ def test_every_order_has_a_zip(spark, tmp_path):
     at = folder(tmp_path, spark, "orders", list(enumerate(keys)), "o_orderkey bigint, o_custkey bigint")
     got = {r.o_orderkey: r.zip for r in plans.QUERIES["zip_norm"](spark, at).collect()}
     assert got == dict(enumerate(["", "", "", "42", "123", "01234", "12345", "12345"]))
+
+
+@pytest.fixture(scope="module")
+def many_events(spark, tmp_path_factory):
+    """20,000 events, whose columns together adaptive execution merges into other partitions than those of the order alone."""
+    at = str(tmp_path_factory.mktemp("many"))
+    one = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + (F.col("id") * 7919) % 20_000).cast("timestamp_ntz").alias("ts"), (F.col("id") % 97).cast("double").alias("value"))
+    one.repartition(8).write.parquet(f"{at}/events.parquet")
+    settings = {"advisoryPartitionSizeInBytes": "100k", "coalescePartitions.minPartitionSize": "1k", "coalescePartitions.parallelismFirst": "false"}
+    before = {f"spark.sql.adaptive.{k}": spark.conf.get(f"spark.sql.adaptive.{k}") for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    yield at, sorted(range(20_000), key=lambda i: (i * 7919) % 20_000)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_circular_lag_of_all(spark, many_events):
+    at, ids = many_events
+    got = {r.event_id: r.lagged for r in plans.QUERIES["circular_of_all"](spark, at).collect()}
+    assert got == {e: float(ids[k - 2] % 97) for k, e in enumerate(ids)}

@@ -110,11 +110,14 @@ def at_threshold(table: DataFrame, score: str, label: str, threshold: float) ->
 def roc(table: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, sensitivity and specificity of 'score > threshold' for every distinct score.
 
-    Running sums over the distinct scores: by parts of the score range, then within each, so no task sees all."""
+    Running sums over the distinct scores: by parts of the score range, then within each, so no task sees all. The parts
+    are settled, as their sums and their rows have to be of the same."""
     from pyspark.sql import Window
 
+    from ..sources.folders import settled
+
     per = table.dropna(subset=[score, label]).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("neg"))
-    parts = per.repartitionByRange(F.col("threshold")).withColumn("__p", F.spark_partition_id())
+    parts = settled(per.repartitionByRange(F.col("threshold")).withColumn("__p", F.spark_partition_id()))
     sums = parts.groupBy("__p").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("__p", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("q").over(before), F.lit(0)).alias("q0"), F.sum("p").over(Window.partitionBy()).alias("pt"), F.sum("q").over(Window.partitionBy()).alias("qt"))

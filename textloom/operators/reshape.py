@@ -207,8 +207,13 @@ def normalized_columns(table: DataFrame) -> DataFrame:
 
 
 def numbered(table: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
-    """Row numbers from 0 in an order, by a range partitioning and prefix sums of the partitions' sizes: no task sees all rows."""
-    ranged = table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    """Row numbers from 0 in an order, by a range partitioning and prefix sums of the partitions' sizes: no task sees all rows.
+
+    The partitions are settled first: worked out once more for their sizes, without the other columns, they would have
+    other bounds, and adaptive execution would merge others of them."""
+    from ..sources.folders import settled
+
+    ranged = settled(table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("__p").count()
     # A row for each partition.
     bases = sizes.withColumn("__base", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__base")

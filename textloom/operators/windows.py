@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import settled
 from .reshape import numbered
 
 
@@ -18,8 +17,8 @@ def _over(by: list[str], order: list[str]):
 
 
 def _placed(table: DataFrame, order: list[str]) -> DataFrame:
-    """table with __r, the place in an order; worked out once, as both sides of a join need the same."""
-    return settled(numbered(table, [F.col(o) for o in order], "__r"))
+    """table with __r, the place in an order."""
+    return numbered(table, [F.col(o) for o in order], "__r")
 
 
 def _at(rows: DataFrame, value: str, lag, name: str) -> DataFrame:
