@@ -67,3 +67,11 @@ def test_circular_lag_of_all(spark, many_events):
     at, ids = many_events
     got = {r.event_id: r.lagged for r in plans.QUERIES["circular_of_all"](spark, at).collect()}
     assert got == {e: float(ids[k - 2] % 97) for k, e in enumerate(ids)}
+
+
+def test_lags_of_all(spark, many_events):
+    at, ids = many_events
+    rows = plans.QUERIES["lag_of_all"](spark, at).collect()
+    got = {r.event_id: (r.before, r.ahead) for r in rows}
+    values = [float(e % 97) for e in ids]
+    assert len(rows) == len(ids) and got == {e: (values[k - 1] if k else -1.0, values[k + 3] if k + 3 < len(ids) else None) for k, e in enumerate(ids)}
