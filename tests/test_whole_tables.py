@@ -75,3 +75,9 @@ def test_lags_of_all(spark, many_events):
     got = {r.event_id: (r.before, r.ahead) for r in rows}
     values = [float(e % 97) for e in ids]
     assert len(rows) == len(ids) and got == {e: (values[k - 1] if k else -1.0, values[k + 3] if k + 3 < len(ids) else None) for k, e in enumerate(ids)}
+
+
+def test_sliding_windows_of_all(spark, many_events):
+    at, ids = many_events
+    rows = plans.QUERIES["sliding_of_all"](spark, at).collect()
+    assert len(rows) == len(ids) - 3 and {r.event_id: r.ids for r in rows} == {ids[k]: ",".join(map(str, ids[k : k + 4])) for k in range(len(ids) - 3)}
