@@ -136,3 +136,10 @@ def test_batches_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in")
     event_windows.run_batches(stream, lambda batch, n: seen.append((n, batch.count())), f"{tmp_path}/checkpoint")
     assert sum(n for _, n in seen) == 10 and [i for i, _ in seen] == list(range(len(seen)))
+
+
+def test_streamed_pairs_are_written_by_executors(spark, small):
+    """An in-memory table would hold every pair on the driver."""
+    from textloom import plans
+
+    assert plans.QUERIES["streamed_pairs"](spark, small).inputFiles()

@@ -227,14 +227,15 @@ def event_windows_sliding(t: Tables):
 
 
 def _streamed(t: Tables, build, mode: str):
-    """What a stream that reads the events and ends leaves in a table. build: from a stream to a stream."""
+    """What a stream that reads the events and ends leaves in the shared folder. build: from a stream to a stream."""
     import uuid
 
     from ..sources.folders import shared_folder
 
     name = f"streamed_{uuid.uuid4().hex}"
     events = event_windows.stream(t.spark, f"{t.folder}/event[s].parquet")  # a pattern, as the table may be a single file
-    return event_windows.run_to_table(build(events), name, f"{shared_folder(t.spark)}/{name}", mode)
+    at = f"{shared_folder(t.spark)}/{name}"
+    return event_windows.run_to_folder(build(events), f"{at}-rows", at, mode)
 
 
 DAILY = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"

@@ -78,6 +78,18 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
     df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_to_folder(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now, and read what it leaves in a new folder as a table: in complete mode the last batch, otherwise all of them. The executors write it, so of any size; a batch that comes again takes its own place."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.mode("append").parquet(path)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch-{n}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def run_batches(df: DataFrame, handle, checkpoint: str) -> None:
     """Run a stream over what there is now: handle(batch, batch_id) gets each micro-batch as a table. A batch may come again after a failure, with its id."""
     df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
