@@ -143,3 +143,20 @@ def test_streamed_pairs_are_written_by_executors(spark, small):
     from textloom import plans
 
     assert plans.QUERIES["streamed_pairs"](spark, small).inputFiles()
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_streamed_folders_of_several_batches(spark, event_files, tmp_path, mode):
+    stream = W.stream(spark, event_files, files_per_trigger=1)
+    built = W.sessions(stream, late=None) if mode == "complete" else stream.select("event_id")
+    got = W.run_to_folder(built, f"{tmp_path}/rows", f"{tmp_path}/c", mode)
+    table = spark.read.parquet(event_files)
+    want = W.sessions(table) if mode == "complete" else table.select("event_id")
+    keys = ["user_id", "start", "end", "n"] if mode == "complete" else ["event_id"]
+    assert sorted(got.select(keys).collect()) == sorted(want.select(keys).collect())
+
+
+def test_streamed_sessions_are_written_by_executors(spark, small):
+    from textloom import plans
+
+    assert plans.QUERIES["streamed_sessions"](spark, small).inputFiles()

@@ -259,8 +259,8 @@ def streamed_sliding(t: Tables):
 
 @query(SESSIONS)
 def streamed_sessions(t: Tables):
-    """Sessions of each user by a stream."""
-    return _rounded(_streamed(t, event_windows.sessions, "complete"), "start", "end", "user_id")
+    """Sessions of each user by a stream, whose files may come in any order."""
+    return _rounded(_streamed(t, lambda e: event_windows.sessions(e, late=None), "complete"), "start", "end", "user_id")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

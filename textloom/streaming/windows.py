@@ -27,10 +27,10 @@ def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day", keys:
     return _counted(timed(events, ts), F.window(ts, size, step), keys, value)
 
 
-def sessions(events: DataFrame, gap: str = "3 hours", keys: tuple[str, ...] = ("user_id",), ts: str = "ts", value: str = "value") -> DataFrame:
-    """start, end, keys, n and total of runs of events that are less than gap apart."""
+def sessions(events: DataFrame, gap: str = "3 hours", keys: tuple[str, ...] = ("user_id",), ts: str = "ts", value: str = "value", late: str | None = "1 hour") -> DataFrame:
+    """start, end, keys, n and total of runs of events that are less than gap apart. A stream drops events later than late, in complete mode too; None keeps all."""
     w = F.session_window(ts, gap)
-    out = timed(events, ts).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    out = timed(events, ts, late).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 
