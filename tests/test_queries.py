@@ -47,3 +47,10 @@ def test_other_queries_run(spark, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_sketch_for_each_type_only(spark, small):
+    """Not one for each user of each type."""
+    plan = entry.queries()["approximate_users"](spark, small)._jdf.queryExecution().sparkPlan().toString()
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketches and not any("user_id" in line.split("functions=")[0] for line in sketches)
