@@ -54,3 +54,10 @@ def test_a_sketch_for_each_type_only(spark, small):
     plan = entry.queries()["approximate_users"](spark, small)._jdf.queryExecution().sparkPlan().toString()
     sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
     assert sketches and not any("user_id" in line.split("functions=")[0] for line in sketches)
+
+
+def test_tfidf_shuffles_no_words_of_documents(spark, small):
+    """Only texts by document, and each word's document frequency."""
+    plan = entry.queries()["tfidf_top"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("token#" in line for line in exchanges)

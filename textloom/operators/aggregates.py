@@ -113,8 +113,10 @@ def correlation_graph_json(table: DataFrame, columns: list[str], threshold: floa
 BROADCAST_TOKENS = 2_000_000
 
 
-def term_scores(tokens: DataFrame, doc: str, token: str) -> DataFrame:
-    """tf-idf: doc, token, tf, df and tfidf = tf ln(N / df) of rows of tokens.
+def term_scores(tokens: DataFrame, doc: str, token: str, docs: DataFrame | None = None) -> DataFrame:
+    """tf-idf: doc, token, tf, df and tfidf = tf ln(N / df) of rows of tokens. docs: the documents that have tokens (column doc), where that is cheaper than from the tokens.
+
+    Tokens that are already partitioned by doc aren't shuffled again but for the sums of document frequencies.
 
     Document frequencies are broadcast if there are few enough tokens; beyond that a token's rows are salted by document,
     so that a frequent token isn't in one task."""
@@ -122,7 +124,7 @@ def term_scores(tokens: DataFrame, doc: str, token: str) -> DataFrame:
 
     tf = tokens.groupBy(F.col(doc).alias("doc"), F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("tf"))
     df = settled(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    n = tokens.agg(F.countDistinct(doc).alias("n"))
+    n = (tokens if docs is None else docs).agg(F.countDistinct(doc).alias("n"))
     if df.count() <= BROADCAST_TOKENS:
         both = tf.join(F.broadcast(df), "token")
     else:

@@ -162,8 +162,11 @@ tf AS (SELECT doc_id AS doc, token, count(*) AS tf FROM w GROUP BY ALL), df AS (
 SELECT doc, token, tf, round(tf * ln(n / df), 6) AS tfidf, rank FROM (
   SELECT doc, token, tf, n, df, row_number() OVER (PARTITION BY doc ORDER BY round(tf * ln(n / df), 6) DESC, token)::INTEGER AS rank FROM tf JOIN df USING (token), n) WHERE rank <= 3""")
 def tfidf_top(t: Tables):
-    words = t.documents.select("doc_id", F.explode(tokens.ascii_words(F.col("text"))).alias("token"))
-    scores = aggregates.term_scores(words, "doc_id", "token").withColumn("tfidf", F.round("tfidf", 6))
+    """Texts are brought together by document, as they are smaller than their words with the document's id. A number of partitions keeps adaptive execution from merging them, whose words are far larger."""
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    words = t.documents.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.explode(tokens.ascii_words(F.col("text"))).alias("token"))
+    some = t.documents.where(F.lower("text").rlike("[a-z0-9]"))
+    scores = aggregates.term_scores(words, "doc_id", "token", some).withColumn("tfidf", F.round("tfidf", 6))
     return top(scores, 3, ["doc"], [F.desc("tfidf"), F.col("token")]).drop("df")
 
 
