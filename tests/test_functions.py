@@ -182,3 +182,12 @@ def test_text_cleaning(apply):
 
 def test_sentences_with_separators(apply):
     assert apply(lambda x: tokens.sentences(x, keep=True), "One. Two? three")[0] == ["One", ". ", "Two", "? ", "three"]
+
+
+def test_word_separator_skips_letters(spark):
+    """It begins at no letter, and splits as its four parts alone do."""
+    plain = r"[^A-Za-z0-9_]*\s'{1,3}|'{1,3}[^A-Za-z0-9_]+|[^A-Za-z0-9_.'-]+|[^A-Za-z0-9_]+\s+"
+    odd = ["", " ", "a", "it's 'so' ''x''' y", "a.b. c... d -- e-f_g", "don't\t'quote'\n''", "Größe, naïve — 東京 \U0001f600x", "...'''...", "x  'y' \x0b'z", "end. ", "'''", None]
+    table = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    assert all(r.a == r.b for r in table.select(F.split("t", P.WORD_SEPARATOR).alias("a"), F.split("t", plain).alias("b")).collect())
+    assert P.WORD_SEPARATOR.startswith(r"(?=\W)")

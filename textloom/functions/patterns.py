@@ -55,7 +55,8 @@ NON_WORD_CHARACTER, WHITE_SPACE = f"[^{W[1:]}", r"\s"
 NON_ASCII, NON_ASCII_RUN, ASCII = r"[^\x00-\x7F]", r"[^\x00-\x7F]+", r"[\x00-\x7F]"
 EXPONENT = r"\s*(?:[xX]\s*10\s*[*^]{1,2}|[eE])\s*"
 NOT_DIGITS_OR_COMMAS, NOT_DIGITS_OR_SIGNS = r"[^0-9,]+", r"[^0-9+-]+"
-WORD_SEPARATOR = r"[^A-Za-z0-9_]*\s'{1,3}|'{1,3}[^A-Za-z0-9_]+|[^A-Za-z0-9_.'-]+|[^A-Za-z0-9_]+\s+"
+# The look-ahead only spares trying all four at the letters of words, where none can begin.
+WORD_SEPARATOR = r"(?=\W)(?:\W*\s'{1,3}|'{1,3}\W+|[^A-Za-z0-9_.'-]+|\W+\s+)"
 WORD_SEPARATOR_PERMISSIVE = r"[^A-Za-z0-9']\s[^A-Za-z0-9_]*|[^A-Za-z0-9_.'-]+"
 SENTENCE_SEPARATOR = r"[.?!][^A-Za-z0-9_]+"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
